@@ -1,12 +1,14 @@
 """Queries of the problems tagged llm, and their SQL where there is one."""
 
-from loomspan.llm import chunking, quality, tokenizer
+from loomspan.llm import chunking, contamination, quality, tokenizer
 
 QUERIES = {
     "p1_found": chunking.p1_found,
     "p1_pieces": chunking.p1_pieces,
     "p8_ids": tokenizer.p8_ids,
     "p8_lengths": tokenizer.p8_lengths,
+    "p9_found": contamination.p9_found,
+    "p9_near": contamination.p9_near,
     "p10_found": quality.p10_found,
     "p10_kinds": quality.p10_kinds,
     "p10_stats": quality.p10_stats,
