@@ -1,10 +1,12 @@
 """Queries of the problems tagged llm, and their SQL where there is one."""
 
-from loomspan.llm import chunking, contamination, quality, tokenizer
+from loomspan.llm import chunking, contamination, conversations, quality, tokenizer
 
 QUERIES = {
     "p1_found": chunking.p1_found,
     "p1_pieces": chunking.p1_pieces,
+    "p4_found": conversations.p4_found,
+    "p4_conversations": conversations.p4_conversations,
     "p8_ids": tokenizer.p8_ids,
     "p8_lengths": tokenizer.p8_lengths,
     "p9_found": contamination.p9_found,
@@ -13,4 +15,4 @@ QUERIES = {
     "p10_kinds": quality.p10_kinds,
     "p10_stats": quality.p10_stats,
 }
-ORACLES = {"p1_found": chunking.P1_FOUND_SQL, "p10_stats": quality.P10_STATS_SQL}
+ORACLES = {"p1_found": chunking.P1_FOUND_SQL, "p4_found": conversations.P4_FOUND_SQL, "p10_stats": quality.P10_STATS_SQL}
