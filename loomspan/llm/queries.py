@@ -1,10 +1,12 @@
 """Queries of the problems tagged llm, and their SQL where there is one."""
 
-from loomspan.llm import chunking, contamination, conversations, quality, tokenizer
+from loomspan.llm import chunking, contamination, conversations, pii, quality, tokenizer
 
 QUERIES = {
     "p1_found": chunking.p1_found,
     "p1_pieces": chunking.p1_pieces,
+    "p3_found": pii.p3_found,
+    "p3_redacted": pii.p3_redacted,
     "p4_found": conversations.p4_found,
     "p4_conversations": conversations.p4_conversations,
     "p8_ids": tokenizer.p8_ids,
