@@ -1,6 +1,6 @@
 """Queries of the problems tagged llm, and their SQL where there is one."""
 
-from loomspan.llm import chunking, contamination, conversations, pii, quality, tokenizer
+from loomspan.llm import chunking, contamination, conversations, neardup, pii, quality, tokenizer
 
 QUERIES = {
     "p1_found": chunking.p1_found,
@@ -9,6 +9,8 @@ QUERIES = {
     "p3_redacted": pii.p3_redacted,
     "p4_found": conversations.p4_found,
     "p4_conversations": conversations.p4_conversations,
+    "p6_found": neardup.p6_found,
+    "p6_groups": neardup.p6_groups,
     "p8_ids": tokenizer.p8_ids,
     "p8_lengths": tokenizer.p8_lengths,
     "p9_found": contamination.p9_found,
