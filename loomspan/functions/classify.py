@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.functions.text import solid_lines, strip
@@ -159,29 +159,47 @@ def segments(c: Column) -> Column:
     )
 
 
-def memory(segment: Column, text: Column) -> tuple[Column, Column]:
-    """(type, confidence) of a segment; null where no marker fits.
+def required_literal(pattern: str) -> str:
+    """The longest plain text that every match of a pattern has; '' if there is none."""
+    best = run = ""
+    for op, arg in re._parser.parse(pattern):
+        run = run + chr(arg) if str(op) == "LITERAL" else ""
+        best = max(best, run, key=len)
+    return best
 
-    `text` is a column of the segment's prose in lower case; it is read once
-    a marker, so it should be a column of its own.
+
+def occurrences(text: Column, pattern: str) -> Column:
+    """Matches of a pattern; the text is searched only where it has the pattern's plain part."""
+    count, literal = F.regexp_count(text, F.lit(pattern)), required_literal(pattern)
+    return F.when(text.contains(literal), count).otherwise(0) if literal else count
+
+
+def with_memory(df: DataFrame, segment: str) -> DataFrame:
+    """`df` with memory_type and confidence of its segments; null where no marker fits.
+
+    Prose, scores and the best kind are columns of their own, so that each is
+    worked out once.
     """
-    scores = {k: sum((F.regexp_count(text, F.lit(p)) for p in patterns), F.lit(0)) for k, patterns in MEMORY_MARKERS.items()}
-    best = first_greatest(scores, "none")
+    kinds = list(MEMORY_MARKERS)
+    text = F.col("_prose")
+    out = df.withColumn("_prose", F.lower(prose(F.col(segment))))
+    out = out.select("*", *[sum((occurrences(text, p) for p in MEMORY_MARKERS[k]), F.lit(0)).alias(f"_{k}") for k in kinds], F.array_distinct(F.regexp_extract_all(text, F.lit(r"\w+"), F.lit(0))).alias("_words"))
+    score = {k: F.col(f"_{k}") for k in kinds}
+    amount = lambda known: F.size(F.array_intersect("_words", F.array(*[F.lit(x) for x in known])))
+    out = out.withColumn("_best", first_greatest(score, "none")).withColumn("_positive", amount(POSITIVE) > amount(NEGATIVE)).withColumn("_solved", text.rlike(RESOLVED))
     size = F.char_length(segment)
     bonus = F.when(size > 500, 2).when(size > 200, 1).otherwise(0)
-    words = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\w+"), F.lit(0)))
-    amount = lambda known: F.size(F.array_intersect(words, F.array(*[F.lit(x) for x in known])))
-    positive = amount(POSITIVE) > amount(NEGATIVE)
-    solved = text.rlike(RESOLVED)
+    trouble, positive = F.col("_best") == "problem", F.col("_positive")
     kind = (
-        F.when((best == "problem") & solved & positive & (scores["emotional"] > 0), "emotional")
-        .when((best == "problem") & solved, "milestone")
-        .when((best == "problem") & positive & (scores["milestone"] > 0), "milestone")
-        .when((best == "problem") & positive & (scores["emotional"] > 0), "emotional")
-        .otherwise(best)
+        F.when(trouble & F.col("_solved") & positive & (score["emotional"] > 0), "emotional")
+        .when(trouble & F.col("_solved"), "milestone")
+        .when(trouble & positive & (score["milestone"] > 0), "milestone")
+        .when(trouble & positive & (score["emotional"] > 0), "emotional")
+        .otherwise(F.col("_best"))
     )
-    found = best != "none"
-    return F.when(found, kind), F.when(found, F.least(F.lit(1.0), (F.greatest(*scores.values()) + bonus) / 5.0))
+    found = F.col("_best") != "none"
+    confidence = F.least(F.lit(1.0), (F.greatest(*score.values()) + bonus) / 5.0)
+    return out.select(*df.columns, F.when(found, kind).alias("memory_type"), F.when(found, confidence).alias("confidence"))
 
 
 # Terms that tell a corpus of assistant dialogues.

@@ -83,9 +83,7 @@ def entity_words(spark, sf):
 
 def memory_types(spark, sf):
     own = load(spark, sf, "drawers").select("id", "content").dropDuplicates().select("id", F.posexplode(C.segments(F.coalesce("content", F.lit("")))).alias("place", "segment")).filter(F.char_length(T.strip(F.col("segment"))) >= 20)
-    own = own.withColumn("prose", F.lower(C.prose(F.col("segment"))))
-    kind, confidence = C.memory(F.col("segment"), F.col("prose"))
-    return own.select("id", "place", kind.alias("memory_type"), F.round(confidence, 6).alias("confidence")).filter("confidence >= 0.3")
+    return C.with_memory(own, "segment").select("id", "place", "memory_type", F.round("confidence", 6).alias("confidence")).filter("confidence >= 0.3")
 
 
 def origin_density(spark, sf):
