@@ -138,6 +138,35 @@ def nearest_by_lists(records: DataFrame, queries: DataFrame, k: int, probes: int
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+#: Bits of a sign code and codes a record, for pairs nearer than a threshold.
+SIGN_BITS, SIGN_CODES = 8, 30
+
+
+def near_pairs(records: DataFrame, key: str, group: str, threshold: float, vector: str = "embedding") -> DataFrame:
+    """(a, b, distance): records of one group nearer than `threshold`, a < b.
+
+    Candidates share one of SIGN_CODES codes of SIGN_BITS signs of random
+    projections; each is verified exactly. At a distance of 0.15 more than
+    99.8 % of the pairs share a code. Null groups are no group.
+    """
+    shared = records.sparkSession.sparkContext.broadcast(11)
+
+    @F.pandas_udf("array<long>")
+    def codes(v: pd.Series) -> pd.Series:
+        x = np.array(v.tolist())
+        plane = np.random.default_rng(shared.value).standard_normal((x.shape[1], SIGN_CODES * SIGN_BITS)) if len(x) else np.zeros((0, 0))
+        signs = (x @ plane > 0).reshape(len(x), SIGN_CODES, SIGN_BITS)
+        return pd.Series(list((signs @ (1 << np.arange(SIGN_BITS)) + (np.arange(SIGN_CODES) << SIGN_BITS)).astype(np.int64)))
+
+    own = records.filter(F.col(vector).isNotNull() & F.col(group).isNotNull()).select(key, group, F.col(vector).cast("array<double>").alias("v"))
+    coded = own.select(key, group, F.explode(codes("v")).alias("code"))
+    a, b = coded.select(F.col(key).alias("a"), group, "code"), coded.select(F.col(key).alias("b"), group, "code")
+    pairs = a.join(b, [group, "code"]).filter("a < b").select("a", "b").dropDuplicates()
+    va, vb = own.select(F.col(key).alias("a"), F.col("v").alias("va")), own.select(F.col(key).alias("b"), F.col("v").alias("vb"))
+    met = pairs.join(va, "a").join(vb, "b").select("a", "b", cosine_distance(F.col("va"), F.col("vb")).alias("distance"))
+    return met.filter(F.col("distance") < threshold)
+
+
 def recall(found: DataFrame, exact: DataFrame, key: str = "vec_id") -> DataFrame:
     """(n, hits, recall): share of the exact neighbours that were found."""
     hit = exact.join(found.select("query_id", key, F.lit(1).alias("hit")), ["query_id", key], "left")

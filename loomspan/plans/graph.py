@@ -96,8 +96,8 @@ _PAIRS = f"""d AS ({_D}), x AS (SELECT id, wing, room, list_sort(list_distinct(l
     u AS (SELECT id, wing, room, unnest(e) AS a FROM x), p AS (SELECT u.id, u.wing, u.room, u.a, v.a AS b FROM u JOIN u v ON v.id = u.id AND u.a < v.a),
     h AS (SELECT wing, a, b, count(*) AS n, array_to_string(coalesce(list_sort(list(DISTINCT room) FILTER (trim(room) <> '')), []), ',') AS rooms FROM p GROUP BY 1, 2, 3 HAVING count(*) >= 2)"""
 _TID = "substr(sha256(least(wing_a || '/' || room, wing_b || '/' || room) || '↔' || greatest(wing_a || '/' || room, wing_b || '/' || room)), 1, 16)"
-_POT = """e AS (SELECT user_id AS id, ts AS at, coalesce(lag(ts) OVER (PARTITION BY user_id ORDER BY ts), min(ts) OVER (PARTITION BY user_id)) AS prev FROM events WHERE user_id IS NOT NULL),
-    p AS (SELECT id, least(5.0, 1.0 + 0.05 * count(*)) AS strength, 1.0 + 0.1 * sum(CASE WHEN epoch_us(at) - epoch_us(prev) >= 3600000000 THEN 1 ELSE 0 END) AS stability, count(*) AS access_count, max(at) AS last FROM e GROUP BY 1)"""
+_POT = """e AS (SELECT user_id AS id, ts AS tm, coalesce(lag(ts) OVER (PARTITION BY user_id ORDER BY ts), min(ts) OVER (PARTITION BY user_id)) AS prev FROM events WHERE user_id IS NOT NULL),
+    p AS (SELECT id, least(5.0, 1.0 + 0.05 * count(*)) AS strength, 1.0 + 0.1 * sum(CASE WHEN epoch_us(tm) - epoch_us(prev) >= 3600000000 THEN 1 ELSE 0 END) AS stability, count(*) AS access_count, max(tm) AS last FROM e GROUP BY 1)"""
 _DAYS = f"(epoch_us(TIMESTAMP '{NOW}') - epoch_us(last)) / 86400000000.0"
 
 ORACLES = {

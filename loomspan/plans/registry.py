@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this package with QUERIES and ORACLES.
-MODULES = ["problems", "records", "text", "facts", "graph", "retrieval"]
+MODULES = ["problems", "records", "text", "facts", "graph", "retrieval", "ingest"]
 
 
 def collect() -> tuple[dict, dict]:

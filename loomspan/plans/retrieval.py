@@ -55,7 +55,7 @@ def check_duplicate(spark, sf):
     return near.filter(1 - F.col("distance") >= 0.9).select("query_id", "vec_id")
 
 
-PROBES = 8
+PROBES = 12
 
 
 def knn_lists(spark, sf):

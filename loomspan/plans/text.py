@@ -39,22 +39,22 @@ def noise_flags(spark, sf):
 
 
 def stripped_noise(spark, sf):
-    return load(spark, sf, "drawers").select("id", "content").dropDuplicates().select("id", F.md5(T.strip_noise(F.coalesce("content", F.lit("")))).alias("md5"))
+    return load(spark, sf, "drawers").select("id", F.md5(T.strip_noise(F.coalesce("content", F.lit("")))).alias("md5")).dropDuplicates()
 
 
 def hall_class(spark, sf):
-    return load(spark, sf, "drawers").select("id", "content").dropDuplicates().select("id", C.hall(F.col("content")).alias("hall"))
+    return load(spark, sf, "drawers").select("id", C.hall(F.col("content")).alias("hall")).dropDuplicates()
 
 
 def topic_class(spark, sf):
-    return load(spark, sf, "messages").select("uuid", "content").dropDuplicates().select("uuid", C.topic(F.col("content")).alias("topic"))
+    return load(spark, sf, "messages").select("uuid", C.topic(F.col("content")).alias("topic")).dropDuplicates()
 
 
 ROOMS = [{"name": "backend", "keywords": ["server", "database"]}, {"name": "diary", "keywords": ["journal"]}, {"name": "travel", "keywords": ["journey", "bridge"]}]
 
 
 def room_class(spark, sf):
-    return load(spark, sf, "drawers").select("id", "source_file", "content").dropDuplicates().select("id", C.room(F.col("source_file"), F.col("content"), ROOMS).alias("room"))
+    return load(spark, sf, "drawers").select("id", C.room(F.col("source_file"), F.col("content"), ROOMS).alias("room")).dropDuplicates()
 
 
 def token_estimate(spark, sf):
@@ -82,8 +82,10 @@ def entity_words(spark, sf):
 
 
 def memory_types(spark, sf):
-    own = load(spark, sf, "drawers").select("id", "content").dropDuplicates().select("id", F.posexplode(C.segments(F.coalesce("content", F.lit("")))).alias("place", "segment")).filter(F.char_length(T.strip(F.col("segment"))) >= 20)
-    return C.with_memory(own, "segment").select("id", "place", "memory_type", F.round("confidence", 6).alias("confidence")).filter("confidence >= 0.3")
+    own = load(spark, sf, "drawers").select("id", F.posexplode(C.segments(F.coalesce("content", F.lit("")))).alias("place", "segment")).filter(F.char_length(T.strip(F.col("segment"))) >= 20)
+    # chosen inside an array: a filter would be pushed down and work the scores out again
+    sure = F.filter(F.array(F.struct("memory_type", F.round("confidence", 6).alias("confidence"))), lambda m: m["confidence"] >= 0.3)
+    return C.with_memory(own, "segment").select("id", "place", F.inline(sure)).dropDuplicates()
 
 
 def origin_density(spark, sf):
@@ -95,9 +97,9 @@ def origin_density(spark, sf):
 
 def closets(spark, sf):
     """Index lines of each record, packed into texts of 1,500 characters."""
-    own = load(spark, sf, "drawers").select("id", "content", "wing", "room", "source_file").dropDuplicates()
+    own = load(spark, sf, "drawers")
     lines = C.closet_lines(F.col("content"), F.col("id"), F.col("wing"), F.col("room"), F.col("source_file"))
-    return own.select("id", F.posexplode(C.pack(lines)).alias("part", "closet"))
+    return own.select("id", F.posexplode(C.pack(lines)).alias("part", "closet")).dropDuplicates()
 
 
 def closet_pointers(spark, sf):
@@ -151,8 +153,8 @@ ORACLES = {
           OR (n <= 3 AND (length(t) - length(replace(t, ' → ', ''))) / 3 > 5)
           OR len(list_filter(l, lambda x: regexp_matches(x, '^\s*\{"\w+":'))) >= 0.5 * n
           OR (pairs > 0 AND regexp_matches(t, '"(uuid|sessionId|requestId|messageId|parentUuid)"\s*:|"timestamp"\s*:\s*"\d{4}-\d{2}-\d{2}') AND pairs * 200 >= length(t)) END AS noise FROM c""",
-    "hall_class": f"SELECT id, {C.keyword_sql('content', C.HALL_KEYWORDS)} AS hall FROM (SELECT DISTINCT id, content FROM drawers)",
-    "topic_class": f"SELECT uuid, {C.keyword_sql('content', C.TOPIC_KEYWORDS)} AS topic FROM (SELECT DISTINCT uuid, content FROM messages)",
+    "hall_class": f"SELECT DISTINCT id, {C.keyword_sql('content', C.HALL_KEYWORDS)} AS hall FROM drawers",
+    "topic_class": f"SELECT DISTINCT uuid, {C.keyword_sql('content', C.TOPIC_KEYWORDS)} AS topic FROM messages",
     "slugs": "SELECT DISTINCT name, translate(lower(name), ' -', '__') AS slug FROM entities",
     "entity_list": f"""WITH f AS (SELECT id, list_filter(list_transform(string_split(entities, ';'), lambda v: trim(v)), lambda v: v <> '') AS e FROM ({_D}) WHERE entities IS NOT NULL),
         u AS (SELECT id, unnest(e) AS entity, unnest(generate_series(1, len(e))) AS i FROM f), m AS (SELECT id, entity, min(i) AS i FROM u GROUP BY 1, 2)
