@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from loomspan.functions.text import strip
 
@@ -42,7 +43,7 @@ def top_words(text: str | None, most: int = 3) -> list[str]:
     return sorted(score, key=lambda w: -score[w])[:most]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def topics(texts: pd.Series) -> pd.Series:
     """top_words of each text; counting words within a row is quadratic with built-in functions."""
     return texts.map(top_words)

@@ -299,11 +299,11 @@ def search(records: DataFrame, closets: DataFrame, queries: DataFrame, n: int =
     wide = hydrated(cut.filter("boost > 0"), records, queries, key)
     hits = cut.join(wide.withColumnRenamed("text", "wide"), ["query_id", key], "left").select("query_id", key, "distance", F.coalesce("wide", "text").alias("text"), "source", "chunk_index")
     if strategy == "union" and max_distance <= 0:
-        lexical = top(bm25_corpus(records, queries, key, "text"), 3 * n, key, "bm25").select("query_id", key)
+        lexical = top(bm25_corpus(records, queries, key, "text").withColumn("bm25", F.round("bm25", 6)), 3 * n, key, "bm25").select("query_id", key)
         extra = lexical.join(records.select(key, "text", F.col("source_file").alias("source"), "chunk_index"), key).join(hits.select("query_id", "source", "chunk_index"), ["query_id", "source", "chunk_index"], "left_anti")
         hits = hits.unionByName(extra.select("query_id", key, F.lit(None).cast("double").alias("distance"), "text", "source", "chunk_index"))
-    ranked = hybrid(hits, bm25(hits, queries, key, "text"), key)
-    return top(ranked, n, key, "score").select("query_id", key, F.round("score", 6).alias("score"), "rank")
+    ranked = hybrid(hits, bm25(hits, queries, key, "text"), key).withColumn("score", F.round("score", 6))
+    return top(ranked, n, key, "score").select("query_id", key, "score", "rank")
 
 
 def lexical_search(records: DataFrame, queries: DataFrame, key: str, most: int = 500, n: int = 5, recency: str = "filed_at", text: str = "content") -> DataFrame:
@@ -322,5 +322,6 @@ def lexical_search(records: DataFrame, queries: DataFrame, key: str, most: int =
     without = asked.filter(F.size("asked") == 0).select("query_id").join(F.broadcast(late)).select("query_id", key, recency)
     order = W.partitionBy("query_id").orderBy(F.desc_nulls_last(recency), key)
     chosen = met.unionByName(without).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).select("query_id", key)
-    scored = bm25(chosen.join(records.select(key, text), key), queries, key, text)
-    return top(scored, n, key, "bm25").select("query_id", key, F.round("bm25", 6).alias("bm25"), "rank")
+    # rounded first: sums of floats differ in their last bits by the order of rows
+    scored = bm25(chosen.join(records.select(key, text), key), queries, key, text).withColumn("bm25", F.round("bm25", 6))
+    return top(scored, n, key, "bm25").select("query_id", key, "bm25", "rank")

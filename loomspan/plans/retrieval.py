@@ -210,12 +210,12 @@ _SEARCH = f"""WITH {_REC}, {_CLO}, {_ASKED}, {_near(15, 'rec')}, {_near(10, 'clo
     hv AS (SELECT cut.query_id, cut.vec_id, cut.distance, CASE WHEN cut.boost > 0 THEN coalesce(wide.wide, cut.text) ELSE cut.text END AS text, cut.source_file, cut.chunk_index FROM cut LEFT JOIN wide USING (query_id, source_file))"""
 _RANK = """, g AS (SELECT h.query_id, h.vec_id, h.distance, coalesce(bm25, 0) AS bm25, max(coalesce(bm25, 0)) OVER (PARTITION BY h.query_id) AS most FROM h LEFT JOIN s USING (query_id, vec_id)),
     sc AS (SELECT query_id, vec_id, 0.6 * coalesce(greatest(0.0, 1 - distance), 0.0) + 0.4 * CASE WHEN most > 0 THEN bm25 / most ELSE 0.0 END AS score FROM g)
-    SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sc) WHERE rank <= 5"""
+    SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id) AS rank FROM sc) WHERE rank <= 5"""
 _CORPUS = f"""lt AS (SELECT vec_id, {_TOK.format(c='text')} AS w FROM rec), lm AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM lt),
     lq AS (SELECT DISTINCT query_id, unnest({_TOK.format(c='text')}) AS word FROM a), lx AS (SELECT vec_id, len(w) AS length, unnest(w) AS word FROM lt),
     lf AS (SELECT vec_id, length, word, count(*) AS tf FROM lx WHERE word IN (SELECT word FROM lq) GROUP BY 1, 2, 3), ld AS (SELECT word, count(*) AS df FROM lf GROUP BY 1),
     ls AS (SELECT query_id, vec_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))) AS bm25 FROM lf JOIN lq USING (word) JOIN ld USING (word) CROSS JOIN lm GROUP BY 1, 2),
-    lex AS (SELECT * FROM ls QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, vec_id) <= 15)"""
+    lex AS (SELECT * FROM ls QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, vec_id) <= 15)"""
 _FUSE = f"""WITH {_near(50)}, {_ASKED}, x AS (SELECT n.query_id, n.vec_id, n.distance, lower(coalesce(d.text, '')) AS l, a.text AS q FROM n JOIN documents d ON d.doc_id = n.vec_id JOIN a ON a.query_id = n.query_id),
     k AS (SELECT *, list_filter(regexp_extract_all(lower(q), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{3,}}') AND w NOT IN ({_STOP})) AS kw FROM x)"""
 
@@ -238,7 +238,7 @@ ORACLES = {
         aw AS (SELECT DISTINCT query_id, unnest(list_filter({_TOK.format(c='text')}, lambda t: length(t) >= 3)) AS word FROM a), rw AS (SELECT DISTINCT vec_id, text, filed_at, unnest({_TOK.format(c='text')}) AS word FROM r),
         met AS (SELECT DISTINCT query_id, vec_id, text, filed_at FROM rw JOIN aw USING (word)),
         h AS (SELECT query_id, vec_id, text FROM met QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY filed_at DESC NULLS LAST, vec_id) <= 500), {_bm('h')}
-        SELECT query_id, vec_id AS id, round(bm25, 6) AS bm25, CAST(row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, vec_id) AS INTEGER) AS rank FROM (SELECT h.query_id, h.vec_id, coalesce(bm25, 0.0) AS bm25 FROM h LEFT JOIN s USING (query_id, vec_id)) QUALIFY rank <= 5""",
+        SELECT query_id, vec_id AS id, round(bm25, 6) AS bm25, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, vec_id) AS INTEGER) AS rank FROM (SELECT h.query_id, h.vec_id, coalesce(bm25, 0.0) AS bm25 FROM h LEFT JOIN s USING (query_id, vec_id)) QUALIFY rank <= 5""",
     "hybrid_fuse": f"""WITH {_near(10)}, {_ASKED}, h AS (SELECT n.query_id, n.vec_id, n.distance, coalesce(d.text, '') AS text FROM n JOIN documents d ON d.doc_id = n.vec_id), {_bm('h')},
         g AS (SELECT h.query_id, h.vec_id, h.distance, coalesce(bm25, 0) AS bm25, max(coalesce(bm25, 0)) OVER (PARTITION BY h.query_id) AS most FROM h LEFT JOIN s USING (query_id, vec_id))
         SELECT query_id, vec_id, round(bm25, 6) AS bm25, round(0.6 * greatest(0.0, 1 - distance) + 0.4 * CASE WHEN most > 0 THEN bm25 / most ELSE 0.0 END, 6) AS score FROM g""",
