@@ -33,7 +33,7 @@ NAME_SHARE = 0.2
 
 _AT = r"(?:@|＠|\s?[(\[{<]\s?(?:at|@|AT)\s?[)\]}>]\s?)"
 _DOT = r"(?:\.|\s?[(\[{<]\s?(?:dot|\.|DOT|punkt|punto|point)\s?[)\]}>]\s?)"
-_EMAIL = re.compile(rf"(?:mailto:)?(?<![\w.+-])[\w][\w.+'-]{{0,63}}{_AT}[\w-]{{1,63}}(?:{_DOT}[\w-]{{1,63}})*?{_DOT}[A-Za-z]{{2,24}}(?![\w-])")
+_EMAIL = re.compile(rf"(?:mailto:)?(?<![\w.+-])[\w][\w.+'-]{{0,63}}{_AT}[\w-]{{1,63}}(?:{_DOT}[\w-]{{1,63}})*{_DOT}[A-Za-z]{{2,24}}(?![\w-])")
 _EMAIL_WORDS = re.compile(r"(?<![\w.+-])\w[\w.+-]{0,63} (?:at|AT) [\w-]{1,63}(?: (?:dot|DOT) [\w-]{1,63})* (?:dot|DOT) [A-Za-z]{2,24}(?![\w-])")
 
 _PHONE = re.compile(
