@@ -22,7 +22,8 @@ def scan(spark: SparkSession, folder: str, extensions: list[str], skipped: list[
     """(path, relative, length, modified, content) of files with one of the extensions.
 
     Left out: files in skipped folders, of more than `most` bytes, ignored by
-    `rules` (lines of an ignore file at the folder), and `.meta.json` files.
+    `rules` (lines of an ignore file at the folder), `.meta.json` files, and
+    files without a byte, which the file source itself skips.
     """
     glob = "*{" + ",".join(extensions) + "}" if len(extensions) > 1 else f"*{extensions[0]}"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
