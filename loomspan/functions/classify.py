@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,18 +33,22 @@ ROUTED = 3000
 
 def first_greatest(scores: dict[str, Column], default: str) -> Column:
     """Name of the greatest score above 0, the first of equals."""
-    best = F.greatest(*scores.values(), F.lit(0))
-    out = F.lit(default)
-    for name, score in reversed(list(scores.items())):
-        out = F.when(score == best, name).otherwise(out)
-    return F.when(best > 0, out).otherwise(default)
+    names = F.array(*[F.lit(k) for k in scores])
+    return bound(F.array(*scores.values()), lambda s: F.when(F.array_max(s) > 0, F.element_at(names, F.array_position(s, F.array_max(s)).cast("int"))).otherwise(default))
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with `value` worked out once, however often f has it."""
+    return F.transform(F.array(value), f)[0]
 
 
 def by_keywords(c: Column, keywords: dict[str, list[str]], window: int = ROUTED) -> Column:
     """The class with the most keywords contained; general without any. Null texts are general."""
     low = F.lower(F.substring(F.coalesce(c, F.lit("")), 1, window))
-    scores = {k: sum((low.contains(w).cast("int") for w in words), F.lit(0)) for k, words in keywords.items()}
-    return first_greatest(scores, "general")
+    lists = F.array(*[F.array(*[F.lit(w) for w in words]) for words in keywords.values()])
+    names = F.array(*[F.lit(k) for k in keywords])
+    counts = bound(low, lambda t: F.transform(lists, lambda words: F.size(F.filter(words, lambda w: t.contains(w)))))
+    return bound(counts, lambda n: F.when(F.array_max(n) > 0, F.element_at(names, F.array_position(n, F.array_max(n)).cast("int"))).otherwise("general"))
 
 
 def hall(c: Column) -> Column:
@@ -71,9 +76,9 @@ def room(path: Column, content: Column, rooms: list[dict]) -> Column:
     folders = F.slice(F.split(low, r"[/\\]"), 1, F.greatest(F.size(F.split(low, r"[/\\]")) - 1, F.lit(0)))
     file = F.element_at(F.split(low, r"[/\\]"), -1)
     names = {r["name"]: [r["name"].lower(), *[k.lower() for k in r.get("keywords", [])]] for r in rooms}
-    text = F.lower(F.substring(F.coalesce(content, F.lit("")), 1, 2000))
-    count = lambda w: ((F.char_length(text) - F.char_length(F.replace(text, F.lit(w), F.lit("")))) / len(w)).cast("int")
-    scored = first_greatest({k: sum((count(w) for w in words), F.lit(0)) for k, words in names.items()}, "general")
+    count = lambda text, w: ((F.char_length(text) - F.char_length(F.replace(text, F.lit(w), F.lit("")))) / len(w)).cast("int")
+    low_text = F.lower(F.substring(F.coalesce(content, F.lit("")), 1, 2000))
+    scored = bound(low_text, lambda text: first_greatest({k: sum((count(text, w) for w in words), F.lit(0)) for k, words in names.items()}, "general"))
     out = scored
     for k, words in reversed(list(names.items())):
         out = F.when(file.contains(words[0]), k).otherwise(out)

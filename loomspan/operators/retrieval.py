@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspan.functions.text import tokens
+from loomspan.runtime import checkpointed
 
 #: Queries of one block.
 BLOCK = 2048
@@ -295,13 +296,15 @@ def search(records: DataFrame, closets: DataFrame, queries: DataFrame, n: int =
         near = near.filter(F.col("distance") <= max_distance)
     index = nearest(closets, queries, 2 * n, "closet_id").join(closets.select("closet_id", F.col("source_file").alias("source")), "closet_id")
     lifted = boosted(near.drop("rank"), index)
-    cut = top(lifted, n, key, "effective", ascending=True).drop("rank")
+    # n rows a query, read several times below
+    cut = checkpointed(top(lifted, n, key, "effective", ascending=True).drop("rank"))
     wide = hydrated(cut.filter("boost > 0"), records, queries, key)
     hits = cut.join(wide.withColumnRenamed("text", "wide"), ["query_id", key], "left").select("query_id", key, "distance", F.coalesce("wide", "text").alias("text"), "source", "chunk_index")
     if strategy == "union" and max_distance <= 0:
         lexical = top(bm25_corpus(records, queries, key, "text").withColumn("bm25", F.round("bm25", 6)), 3 * n, key, "bm25").select("query_id", key)
         extra = lexical.join(records.select(key, "text", F.col("source_file").alias("source"), "chunk_index"), key).join(hits.select("query_id", "source", "chunk_index"), ["query_id", "source", "chunk_index"], "left_anti")
         hits = hits.unionByName(extra.select("query_id", key, F.lit(None).cast("double").alias("distance"), "text", "source", "chunk_index"))
+    hits = checkpointed(hits)
     ranked = hybrid(hits, bm25(hits, queries, key, "text"), key).withColumn("score", F.round("score", 6))
     return top(ranked, n, key, "score").select("query_id", key, "score", "rank")
 
