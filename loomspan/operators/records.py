@@ -11,7 +11,7 @@ from loomspan.runtime import checkpointed
 
 
 def counts(records: DataFrame, default: str = "unknown") -> DataFrame:
-    """(level, wing, room, n): totals by wing, by room and in all, in one pass; nulls count under `default`."""
+    """(level, wing, room, n): totals by wing, by room and in all, in one pass; nulls count under `default`. An empty table has no rows."""
     own = records.select(F.coalesce("wing", F.lit(default)).alias("wing"), F.coalesce("room", F.lit(default)).alias("room"))
     sets = own.groupingSets([["wing"], ["room"], []], "wing", "room").agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
     return sets.select(F.when(F.col("g") == 1, "wing").when(F.col("g") == 2, "room").otherwise("total").alias("level"), "wing", "room", "n")
