@@ -16,11 +16,12 @@ class UnsupportedFilter(ValueError):
 
 
 def where_column(where: dict | None) -> Column:
-    """A boolean column, never null, of a where tree.
+    """A boolean column of a where tree, of comparisons that reach the file scan.
 
     {} and None match all; {field: value} means equality; several fields in
     one dict must all match. A null field is unequal to every value, so $ne
-    and $nin match it and nothing else does. Unknown operators raise.
+    and $nin match it; other comparisons with it are null, which a filter
+    takes as no match. Unknown operators raise.
     """
     if not where:
         return F.lit(True)
@@ -45,23 +46,23 @@ def where_column(where: dict | None) -> Column:
 def _comparison(c: Column, op: str, v: object) -> Column:
     match op:
         case "$eq":
-            return c.eqNullSafe(F.lit(v)) if v is not None else c.isNull()
+            return c == F.lit(v) if v is not None else c.isNull()
         case "$ne":
-            return ~c.eqNullSafe(F.lit(v))
+            return (c != F.lit(v)) | c.isNull() if v is not None else c.isNotNull()
         case "$in":
-            return F.coalesce(c.isin(list(v)), F.lit(False))
+            return c.isin(list(v))
         case "$nin":
-            return ~F.coalesce(c.isin(list(v)), F.lit(False))
+            return ~c.isin(list(v)) | c.isNull()
         case "$contains":
-            return F.coalesce(c.contains(v), F.lit(False))
+            return c.contains(v)
         case "$gt":
-            return F.coalesce(c > F.lit(v), F.lit(False))
+            return c > F.lit(v)
         case "$gte":
-            return F.coalesce(c >= F.lit(v), F.lit(False))
+            return c >= F.lit(v)
         case "$lt":
-            return F.coalesce(c < F.lit(v), F.lit(False))
+            return c < F.lit(v)
         case "$lte":
-            return F.coalesce(c <= F.lit(v), F.lit(False))
+            return c <= F.lit(v)
     raise UnsupportedFilter(f"unknown operator {op}")
 
 
@@ -72,9 +73,9 @@ def document_column(where_document: dict | None, text: str = "content") -> Colum
     parts = []
     for op, v in where_document.items():
         if op == "$contains":
-            parts.append(F.coalesce(F.col(text).contains(v), F.lit(False)))
+            parts.append(F.col(text).contains(v))
         elif op == "$not_contains":
-            parts.append(~F.coalesce(F.col(text).contains(v), F.lit(False)))
+            parts.append(~F.col(text).contains(v) | F.col(text).isNull())
         elif op in ("$and", "$or"):
             parts.append(reduce(lambda a, b: a & b if op == "$and" else a | b, [document_column(x, text) for x in v]))  # noqa: B023
         else:

@@ -15,14 +15,15 @@ _D = f"SELECT DISTINCT {', '.join(META)} FROM drawers"
 
 
 def meta(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "drawers").select(*META).dropDuplicates()
+    """A row a record; by id, so that only the columns a query has are read and shuffled."""
+    return load(spark, sf, "drawers").select(*META).dropDuplicates(["id"])
 
 
 WHERE = {"$and": [{"wing": {"$in": ["alderline", "dunmore"]}}, {"$or": [{"room": "backend"}, {"chunk_index": {"$gte": 3}}]}, {"added_by": {"$ne": "mcp"}}, {"hall": {"$nin": ["hall_events"]}}]}
 
 
 def where_tree(spark, sf):
-    return meta(spark, sf).filter(P.where_column(WHERE)).select("id", "wing", "room", "hall", "chunk_index")
+    return load(spark, sf, "drawers").filter(P.where_column(WHERE)).select("id", "wing", "room", "hall", "chunk_index").dropDuplicates()
 
 
 def where_contains(spark, sf):
@@ -30,8 +31,8 @@ def where_contains(spark, sf):
 
 
 def page_with_total(spark, sf):
-    own = meta(spark, sf).select("id", "room", "wing", "chunk_index")
-    return P.page_with_total(own, P.scope("alderline", "diary"), 10, 5).select("id", "chunk_index", "total")
+    own = load(spark, sf, "drawers").filter(P.where_column(P.scope("alderline", "diary"))).select("id", "chunk_index").dropDuplicates()
+    return P.page_with_total(own, None, 10, 5).select("id", "chunk_index", "total")
 
 
 def current_records(spark, sf):
