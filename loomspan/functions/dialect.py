@@ -101,3 +101,106 @@ def encode_emotions(names: Column) -> Column:
     """Codes of named emotions, three at most, joined by +; unknown ones by their first four letters."""
     codes = F.create_map(*[F.lit(x) for pair in EMOTION_CODES.items() for x in pair])
     return F.array_join(F.slice(F.array_distinct(F.transform(names, lambda n: F.coalesce(codes[n], F.substring(n, 1, 4)))), 1, 3), "+")
+
+
+# ---- structured notes ---------------------------------------------------------
+
+# Words that make a quote weightier.
+FELT = ["love", "fear", "remember", "soul", "feel", "stupid", "scared", "beautiful", "destroy", "respect", "trust", "consciousness", "alive", "forget", "waiting", "peace", "matter", "real", "guilt", "escape", "rest", "hope", "dream", "lost", "found"]
+
+
+def entity_code(name: str, codes: dict[str, str], skipped: tuple[str, ...] = ()) -> str | None:
+    """A person's code: given, by a part of the name, or its first three letters; none for skipped names."""
+    low = name.lower()
+    if any(s.lower() in low for s in skipped):
+        return None
+    exact = {k.lower(): v for k, v in codes.items()}
+    return exact.get(low) or next((v for k, v in exact.items() if k in low), name[:3].upper())
+
+
+def key_quote(note: dict) -> str:
+    """The weightiest quotation in a note, else what follows a dash in its title."""
+    text = " ".join(str(note.get(k) or "") for k in ("content", "origin_label", "notes"))
+    found = re.findall(r'"([^"]{8,55})"', text) + [m[1] for m in re.finditer(r"(?:^|[\s(])'([^']{8,55})'(?:[\s.,;:!?)]|$)", text)]
+    found += re.findall(r"(?i)(?:says?|said|articulates?|reveals?|admits?|confesses?|asks?):\s*[\"']?([^.!?]{10,55})[.!?]", text)
+    quotes = [q for q in dict.fromkeys(q.strip() for q in found) if len(q) >= 8]
+
+    def weight(q: str) -> int:
+        return 2 * q[0].isupper() + 2 * sum(w in q.lower() for w in FELT) + (len(q) > 20) - 2 * q.startswith(("The ", "This ", "She "))
+
+    if quotes:
+        return max(quotes, key=weight)
+    _, dash, rest = str(note.get("title") or "").partition(" - ")
+    return rest[:45] if dash else ""
+
+
+def note_flags(note: dict) -> str:
+    notes, origin = str(note.get("notes") or "").lower(), str(note.get("origin_label") or "").lower()
+    rules = [("ORIGIN", bool(note.get("origin_moment"))), ("SENSITIVE", str(note.get("sensitivity") or "").upper().startswith("MAXIMUM")), ("CORE", "core" in notes or "foundational pillar" in notes), ("GENESIS", "genesis" in notes or "genesis" in origin), ("PIVOT", "pivot" in notes)]
+    return "+".join(k for k, on in rules if on)
+
+
+def note_line(note: dict, codes: dict[str, str] | None = None, skipped: tuple[str, ...] = ()) -> str:
+    """id:people|topics|"quote"|weight|emotions|flags of one note; parts it lacks are left out."""
+    people = sorted({c for p in note.get("people") or [] if (c := entity_code(p, codes or {}, skipped))})
+    felt = list(dict.fromkeys(EMOTION_CODES.get(e, e[:4]) for e in note.get("emotional_tone") or []))[:3]
+    quote = key_quote(note)
+    parts = [f"{str(note['id']).rpartition('-')[2]}:{'+'.join(people) or '???'}", "_".join((note.get("topics") or [])[:2]) or "misc", f'"{quote}"' if quote else "", str(note.get("emotional_weight", 0.5)), "+".join(felt), note_flags(note)]
+    return "|".join(p for p in parts if p)
+
+
+def link_line(link: dict) -> str:
+    label = str(link.get("label") or "")
+    return f"T:{link['from'].rpartition('-')[2]}<->{link['to'].rpartition('-')[2]}|{label.partition(':')[0] if ':' in label else label[:30]}"
+
+
+def encode_notes(document: dict, codes: dict[str, str] | None = None) -> str:
+    """A file of notes: a heading, the arc, a line a note and a line a link."""
+    source = str(document.get("source_file") or "unknown")
+    number, dash, rest = source.partition("-")
+    notes = document.get("zettels") or []
+    people = sorted({c for n in notes for p in n.get("people") or [] if (c := entity_code(p, codes or {}))})[:3]
+    when = notes[0].get("date_context", "unknown") if notes else "unknown"
+    head = f"{number if dash else '000'}|{'+'.join(people) or '???'}|{when}|{rest.replace('.txt', '').strip() if dash else source}"
+    arc = [f"ARC:{document['emotional_arc']}"] if document.get("emotional_arc") else []
+    return "\n".join([head, *arc, *(note_line(n, codes) for n in notes), *(link_line(t) for t in document.get("tunnels") or [])])
+
+
+def decode_notes(text: str) -> dict:
+    """The parts of an encoded file: heading, arc, notes and links."""
+    out: dict = {"header": {}, "arc": "", "notes": [], "links": []}
+    for line in filter(None, text.split("\n")):
+        if line.startswith("ARC:"):
+            out["arc"] = line[4:]
+        elif line.startswith("T:"):
+            out["links"].append(line)
+        elif ":" in line.partition("|")[0]:
+            out["notes"].append(line)
+        else:
+            out["header"] = dict(zip(("file", "entities", "date", "title"), line.split("|")))
+    return out
+
+
+def encoded_notes(files: DataFrame, text: str = "text", key: str = "path") -> DataFrame:
+    """(path, summary) of JSON files of notes; files that aren't are left out."""
+    import json
+    from collections.abc import Iterator
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for k, t in zip(pdf[key], pdf[text]):
+                try:
+                    rows.append((k, encode_notes(json.loads(t or ""))))
+                except (ValueError, KeyError, TypeError, AttributeError):
+                    continue
+            yield pd.DataFrame(rows, columns=[key, "summary"])
+
+    return files.select(key, text).mapInPandas(run, f"{key} string, summary string")
+
+
+def size_ratio(original: Column, summary: Column) -> Column:
+    """Estimated tokens of a text by those of its summary."""
+    from loomspan.functions.text import token_estimate
+
+    return F.round(token_estimate(original) / F.greatest(token_estimate(summary), F.lit(1)), 1)

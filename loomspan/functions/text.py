@@ -200,3 +200,34 @@ def _cut(s: str, sentence: re.Pattern) -> str:
         return s
     fitting = [p for p in map(_unquoted, filter(str.strip, sentence.split(s))) if LEAST_QUERY <= len(p) <= MOST_QUERY]
     return fitting[-1] if fitting else s[-MOST_QUERY:].strip()
+
+
+def _same(c: Column) -> Column:
+    return c
+
+
+#: Named transformations that a source may declare; the last six are the source's own, and change nothing here.
+TRANSFORMATIONS = {
+    "utf8_replace_invalid": utf8_replace_invalid,
+    "newline_normalize": newline_normalize,
+    "whitespace_trim": strip,
+    "whitespace_collapse_internal": whitespace_collapse,
+    "line_trim": line_trim,
+    "line_join_spaces": line_join_spaces,
+    "blank_line_drop": blank_line_drop,
+    "strip_tool_chrome": _same,
+    "tool_result_truncate": _same,
+    "tool_result_omitted": _same,
+    "spellcheck_user": _same,
+    "synthesized_marker": _same,
+    "speaker_role_assignment": _same,
+}
+
+
+def transformed(c: Column, names: list[str]) -> Column:
+    """The named transformations one after the other; unknown names raise."""
+    for n in names:
+        if n not in TRANSFORMATIONS:
+            raise ValueError(f"no transformation {n!r}")
+        c = TRANSFORMATIONS[n](c)
+    return c

@@ -91,6 +91,67 @@ def question_hall(question: Column) -> Column:
     return out
 
 
+# Phrases of a question about the assistant's own words, and forms of what a user says of themselves.
+ASSISTANT_PHRASES = ["you suggested", "you told me", "you mentioned", "you said", "you recommended", "remind me what you", "you provided", "you listed", "you gave me", "you described", "what did you", "you came up with", "you helped me", "you explained", "can you remind me", "you identified"]
+PREFERENCES = [
+    r"i(?:'ve been| have been) having (?:trouble|issues?|problems?) with ([^,\.!?]{5,80})", r"i(?:'ve been| have been) feeling ([^,\.!?]{5,60})", r"i(?:'ve been| have been) (?:struggling|dealing) with ([^,\.!?]{5,80})", r"i(?:'ve been| have been) (?:worried|concerned) about ([^,\.!?]{5,80})",
+    r"i(?:'m| am) (?:worried|concerned) about ([^,\.!?]{5,80})", r"i prefer ([^,\.!?]{5,60})", r"i usually ([^,\.!?]{5,60})", r"i(?:'ve been| have been) (?:trying|attempting) to ([^,\.!?]{5,80})", r"i(?:'ve been| have been) (?:considering|thinking about) ([^,\.!?]{5,80})",
+    r"lately[,\s]+(?:i've been|i have been|i'm|i am) ([^,\.!?]{5,80})", r"recently[,\s]+(?:i've been|i have been|i'm|i am) ([^,\.!?]{5,80})", r"i(?:'ve been| have been) (?:working on|focused on|interested in) ([^,\.!?]{5,80})", r"i want to ([^,\.!?]{5,60})",
+    r"i(?:'m| am) looking (?:to|for) ([^,\.!?]{5,60})", r"i(?:'m| am) thinking (?:about|of) ([^,\.!?]{5,60})", r"i(?:'ve been| have been) (?:noticing|experiencing) ([^,\.!?]{5,80})",
+]
+
+
+def asks_assistant(question: Column) -> Column:
+    """Is the question about what the assistant said before?"""
+    low, out = F.lower(F.coalesce(question, F.lit(""))), F.lit(False)
+    for p in ASSISTANT_PHRASES:
+        out = out | low.contains(p)
+    return out
+
+
+def preferences(text: Column, most: int = 10) -> Column:
+    """What a user says of their likes and troubles: the first distinct phrases of 5 to 80 characters."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    found = F.concat(*[F.regexp_extract_all(low, F.lit(p), F.lit(1)) for p in PREFERENCES])
+    clean = F.transform(found, lambda t: F.regexp_replace(F.trim(t), r"[.,;!? ]+$", ""))
+    return F.slice(F.array_distinct(F.filter(clean, lambda t: F.char_length(t).between(5, 80))), 1, most)
+
+
+def preference_documents(turns: DataFrame, most: int = 10) -> DataFrame:
+    """(session_id, text) of sessions whose user turns (session_id, turn, role, content) tell preferences; one document each.
+
+    Phrases are found a turn at a time; a session gathers its first phrases only.
+    """
+    own = turns.filter("role = 'user'").select("session_id", "turn", F.posexplode(preferences(F.col("content"), most)).alias("i", "phrase"))
+    first = own.groupBy("session_id", "phrase").agg(F.min(F.struct("turn", "i")).alias("at"))
+    ranked = first.withColumn("n", F.row_number().over(W.partitionBy("session_id").orderBy("at"))).filter(F.col("n") <= most)
+    return ranked.groupBy("session_id").agg(F.concat(F.lit("User has mentioned: "), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "phrase"))), lambda p: p["phrase"]), "; ")).alias("text"))
+
+
+def best_per_session(scored: DataFrame, score: str = "fused", key: str = "vec_id") -> DataFrame:
+    """The best row of each query and session, ranked; ties to the lesser key."""
+    one = scored.withColumn("_n", F.row_number().over(W.partitionBy("query_id", "session_id").orderBy(score, key))).filter("_n = 1").drop("_n")
+    return one.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(score, key)))
+
+
+def hall_fusion(distance: Column, record_hall: Column, question_halls: Column, found_first: Column | None = None) -> Column:
+    """Less for records of the question's first hall (x 0.75) or another of its halls (x 0.90), and for those a first pass found (x 0.85)."""
+    out = F.when(record_hall == question_halls[0], distance * 0.75).when(F.array_contains(question_halls, record_hall), distance * 0.90).otherwise(distance)
+    return out if found_first is None else F.when(found_first, out * 0.85).otherwise(out)
+
+
+def hit_at(ranked: DataFrame, targets: DataFrame, k: int, key: str) -> DataFrame:
+    """(query_id, hit): is any target among the first k?"""
+    first = ranked.filter(F.col("rank") <= k).join(targets.select("query_id", key).distinct(), ["query_id", key], "left_semi").select("query_id").distinct().withColumn("h", F.lit(True))
+    return targets.select("query_id").distinct().join(first, "query_id", "left").select("query_id", F.coalesce("h", F.lit(False)).alias("hit"))
+
+
+def session_texts(turns: DataFrame, all_roles: bool = False) -> DataFrame:
+    """(session_id, text): a session's user turns, or all, in order, joined by line feeds; for sessions of a bounded length."""
+    own = turns if all_roles else turns.filter("role = 'user'")
+    return own.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "content"))), lambda t: t["content"]), "\n").alias("text"))
+
+
 def ranking_measures(ranked: DataFrame, relevant: DataFrame, k: int, key: str) -> DataFrame:
     """(query_id, recall_any, recall_all, ndcg) at k of `ranked` (query_id, key, rank) against `relevant` (query_id, key).
 
