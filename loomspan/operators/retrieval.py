@@ -169,9 +169,9 @@ def near_pairs(records: DataFrame, key: str, group: str, threshold: float, vecto
 
 
 def recall(found: DataFrame, exact: DataFrame, key: str = "vec_id") -> DataFrame:
-    """(n, hits, recall): share of the exact neighbours that were found."""
+    """(n, hits, recall): share of the exact neighbours that were found; null where there are none."""
     hit = exact.join(found.select("query_id", key, F.lit(1).alias("hit")), ["query_id", key], "left")
-    return hit.agg(F.count("*").alias("n"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hits")).withColumn("recall", F.round(F.col("hits") / F.col("n"), 6))
+    return hit.agg(F.count("*").alias("n"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hits")).withColumn("recall", F.round(F.try_divide("hits", "n"), 6))
 
 
 def bm25(candidates: DataFrame, queries: DataFrame, key: str, text: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
