@@ -10,12 +10,15 @@ from loomspan.functions import splitting as S
 from loomspan.functions.text import sanitize_query
 from loomspan.operators import records as R
 from loomspan.operators import retrieval
+from loomspan.runtime import partitions
 from loomspan.sources import transcripts as TR
 from loomspan.streaming import sweep as X
 from loomspan.tables import load
 
 #: Messages before this time are stored already; the sweep sees all.
 CURSOR = "2025-06-01T00:00:00"
+#: Rows up to which a conversation's messages are gathered.
+GATHERED = 1_000
 
 
 def _messages(spark, sf):
@@ -76,12 +79,16 @@ def sayings(spark, sf):
 
 
 def message_transcripts(spark, sf):
-    """Messages of each conversation of up to 1,000 rows as a marked transcript."""
+    """Messages of each conversation as a marked transcript; those of more than GATHERED rows are read in order instead of gathered."""
     c = load(spark, sf, "chat_messages").filter("lower(trim(sender)) in ('human', 'user', 'assistant', 'ai') and trim(text) <> ''")
-    short = c.groupBy("conversation_uuid").agg(F.count("*").alias("n")).filter("n <= 1000").select("conversation_uuid")
-    g = c.dropDuplicates(["conversation_uuid", "message_uuid"]).join(short, "conversation_uuid").groupBy("conversation_uuid").agg(F.array_sort(F.collect_list(F.struct("position", "message_uuid", F.lower(F.trim("sender")).alias("sender"), "text"))).alias("m"))
-    exported = g.select(F.concat("conversation_uuid", F.lit(".json")).alias("path"), F.to_json(F.transform("m", lambda x: F.struct(x["sender"].alias("sender"), x["text"].alias("text")))).alias("text"))
-    return TR.normalised(exported).select("path", "format", F.md5("transcript").alias("md5"))
+    long = c.filter("conversation_uuid is not null").groupBy("conversation_uuid").agg(F.count("*").alias("n")).filter(F.col("n") > GATHERED).select("conversation_uuid")
+    m = c.filter("conversation_uuid is not null").dropDuplicates(["conversation_uuid", "message_uuid"]).withColumn("sender", F.lower(F.trim("sender")))
+    path = F.concat("conversation_uuid", F.lit(".json"))
+    g = m.join(long, "conversation_uuid", "left_anti").groupBy("conversation_uuid").agg(F.array_sort(F.collect_list(F.struct("position", "message_uuid", "sender", "text"))).alias("m"))
+    exported = g.select(path.alias("path"), F.to_json(F.transform("m", lambda x: F.struct(x["sender"].alias("sender"), x["text"].alias("text")))).alias("text"))
+    short = TR.normalised(exported).select("path", "format", F.md5("transcript").alias("md5"))
+    rows = m.join(long, "conversation_uuid", "left_semi").select(path.alias("path"), F.struct("position", "message_uuid").alias("place"), "sender", "text", F.to_json(F.struct("sender", "text")).alias("item"))
+    return short.unionByName(TR.exported_digests(rows, partitions(spark)))
 
 
 def greedy_dedup(spark, sf):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -280,6 +281,51 @@ def normalised(files: DataFrame, path: str = "path", text: str = "text") -> Data
     return files.select(path, text).mapInPandas(run, "path string, format string, transcript string")
 
 
+def exported_digests(messages: DataFrame, partitions: int) -> DataFrame:
+    """(path, format, md5) of the export of each path's messages, as of `normalised`, whatever their number.
+
+    `messages` (path, place, sender, text, item): item is the message as JSON.
+    Rows are read in the order of their place, and only hashes are kept.
+    """
+
+    class Export:
+        def __init__(self, path: str):
+            self.path, self.turns, self.before, self.items = path, 0, "", 0
+            self.said, self.raw = hashlib.md5(), hashlib.md5(b"[")
+
+        def add(self, sender: str, text: str, item: str) -> None:
+            self.raw.update((("," if self.items else "") + item).encode())
+            self.items += 1
+            for role, said in _messages([{"sender": sender, "text": text}]):
+                if self.turns:
+                    self.said.update(b"\n" if (self.before, role) == ("user", "assistant") else b"\n\n")
+                self.said.update((f"> {said}" if role == "user" else said).encode())
+                self.turns, self.before = self.turns + 1, role
+
+        def row(self) -> tuple[str, str, str]:
+            if self.turns >= 2:
+                self.said.update(b"\n")
+                return self.path, "message_exports", self.said.hexdigest()
+            self.raw.update(b"]")
+            return self.path, "text", self.raw.hexdigest()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here: Export | None = None
+        for pdf in batches:
+            out = []
+            for path, sender, text, item in zip(pdf["path"], pdf["sender"], pdf["text"], pdf["item"]):
+                if here is None or here.path != path:
+                    out += [here.row()] if here else []
+                    here = Export(path)
+                here.add(sender, text, item)
+            yield pd.DataFrame(out, columns=["path", "format", "md5"])
+        if here:
+            yield pd.DataFrame([here.row()], columns=["path", "format", "md5"])
+
+    placed = messages.repartition(partitions, "path").sortWithinPartitions("path", "place")
+    return placed.select("path", "sender", "text", "item").mapInPandas(run, "path string, format string, md5 string")
+
+
 def session_messages(lines: DataFrame, value: str = "value") -> DataFrame:
     """(session_id, uuid, timestamp, role, content) of session rows as JSON text, batch or streaming.
 
