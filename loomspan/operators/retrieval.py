@@ -309,22 +309,40 @@ def search(records: DataFrame, closets: DataFrame, queries: DataFrame, n: int =
     return top(ranked, n, key, "score").select("query_id", key, "score", "rank")
 
 
-def lexical_search(records: DataFrame, queries: DataFrame, key: str, most: int = 500, n: int = 5, recency: str = "filed_at", text: str = "content") -> DataFrame:
+def lexical_search(records: DataFrame, queries: DataFrame, key: str, most: int = 500, n: int = 5, recency: str = "filed_at", text: str = "content", whole: bool = True) -> DataFrame:
     """(query_id, key, bm25, rank): BM25 over candidates that contain a query word of 3 characters or more.
 
-    Where a query has no such word its candidates are the `most` latest
-    records; a query that matches nothing stays empty. At most `most`
-    candidates a query, the latest: that limit is part of this search.
+    All of them are scored, by their own statistics. Where a query has no such
+    word its candidates are the `most` latest records; a query that matches
+    nothing stays empty. Not `whole`: at most `most` candidates a query, the
+    latest, scored among themselves; that is the reference's bound of cost.
     """
     asked = queries.select("query_id", "text", F.filter(F.array_distinct(tokens(F.col("text"))), lambda t: F.char_length(t) >= 3).alias("asked"))
     records = records.select(key, text, recency)
-    word = asked.select("query_id", F.explode("asked").alias("word"))
-    own = records.select(key, recency, F.explode(F.array_distinct(tokens(F.col(text)))).alias("word"))
-    met = own.join(word, "word").select("query_id", key, recency).dropDuplicates()
-    late = records.select(key, recency).orderBy(F.desc_nulls_last(recency), key).limit(most)
-    without = asked.filter(F.size("asked") == 0).select("query_id").join(F.broadcast(late)).select("query_id", key, recency)
-    order = W.partitionBy("query_id").orderBy(F.desc_nulls_last(recency), key)
-    chosen = met.unionByName(without).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).select("query_id", key)
+    if whole:
+        # two narrow passes over the records: statistics of each query's candidates, then their scores; shorter words make no candidate
+        every = asked.select("query_id", "asked", F.array_distinct(tokens(F.col("text"))).alias("every"))
+        met = records.select(key, tokens(F.col(text)).alias("words")).join(every, F.arrays_overlap("words", "asked"))
+        count = lambda w: F.size(F.filter("words", lambda x: x == w))
+        met = met.select("query_id", key, F.size("words").alias("length"), F.transform(F.array_intersect("every", "words"), lambda w: F.struct(w.alias("word"), count(w).alias("tf"))).alias("shared"))
+        stats = met.groupBy("query_id").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+        df = met.select("query_id", F.explode("shared.word").alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("df")).join(stats, "query_id")
+        idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+        weights = df.groupBy("query_id", "mean").agg(F.map_from_entries(F.collect_list(F.struct("word", idf))).alias("idf"))  # a query's own words
+        part = lambda s, x: s + F.col("idf")[x["word"]] * x["tf"] * 2.5 / (x["tf"] + 1.5 * (0.25 + 0.75 * F.col("length") / F.col("mean")))
+        scored = met.join(weights, "query_id").select("query_id", key, F.aggregate("shared", F.lit(0.0), part).alias("bm25")).groupBy("query_id", key).agg(F.max("bm25").alias("bm25"))
+        late = records.orderBy(F.desc_nulls_last(recency), key).limit(most)
+        latest = bm25(asked.filter(F.size("asked") == 0).select("query_id").join(F.broadcast(late)).select("query_id", key, text), queries, key, text)
+        scored = scored.unionByName(latest)
+    else:
+        word = asked.select("query_id", F.explode("asked").alias("word"))
+        late = records.select(key, recency).orderBy(F.desc_nulls_last(recency), key).limit(most)
+        without = asked.filter(F.size("asked") == 0).select("query_id").join(F.broadcast(late)).select("query_id", key, recency)
+        own = records.select(key, recency, F.explode(F.array_distinct(tokens(F.col(text)))).alias("word"))
+        met = own.join(word, "word").select("query_id", key, recency).dropDuplicates()
+        order = W.partitionBy("query_id").orderBy(F.desc_nulls_last(recency), key)
+        chosen = met.unionByName(without).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).select("query_id", key)
+        scored = bm25(chosen.join(records.select(key, text), key), queries, key, text)
     # rounded first: sums of floats differ in their last bits by the order of rows
-    scored = bm25(chosen.join(records.select(key, text), key), queries, key, text).withColumn("bm25", F.round("bm25", 6))
+    scored = scored.withColumn("bm25", F.round("bm25", 6))
     return top(scored, n, key, "bm25").select("query_id", key, "bm25", "rank")

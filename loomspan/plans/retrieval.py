@@ -77,6 +77,12 @@ def bm25_topk(spark, sf):
 
 
 def lexical_search(spark, sf):
+    own = load(spark, sf, "drawers").select("id", "content", "filed_at").dropDuplicates()
+    return R.lexical_search(own, _questions(spark, sf), "id", whole=False)
+
+
+def lexical_search_whole(spark, sf):
+    """lexical_search over all matching drawers, not the 500 latest of them."""
     own = load(spark, sf, "drawers").select("id", "content", "filed_at").dropDuplicates()
     return R.lexical_search(own, _questions(spark, sf), "id")
 
@@ -167,7 +173,7 @@ def nearest_rank(spark, sf):
     return E.nearest_rank(e, "event_type", "value", 0.95)
 
 
-QUERIES = {f.__name__: f for f in (knn_exact, knn_filtered, max_distance, check_duplicate, knn_lists, knn_recall, bm25_topk, lexical_search, hybrid_fuse, rank_boost, neighbour_expand, search_vector, search_union, keyword_fusion, full_fusion, temporal_fusion, room_fusion, ranking_measures, session_halls, token_f1, nearest_rank)}
+QUERIES = {f.__name__: f for f in (knn_exact, knn_filtered, max_distance, check_duplicate, knn_lists, knn_recall, bm25_topk, lexical_search, lexical_search_whole, hybrid_fuse, rank_boost, neighbour_expand, search_vector, search_union, keyword_fusion, full_fusion, temporal_fusion, room_fusion, ranking_measures, session_halls, token_f1, nearest_rank)}
 
 _DIST = "list_cosine_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))"
 _TOK = r"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}_]{{2,}}')"
@@ -272,3 +278,5 @@ ORACLES = {
     "nearest_rank": """SELECT event_type, value FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
         WHERE i = CAST(round_even(0.95 * (n - 1), 0) AS BIGINT)""",
 }
+#: The same without the bound of candidates.
+ORACLES["lexical_search_whole"] = ORACLES["lexical_search"].replace(" QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY filed_at DESC NULLS LAST, vec_id) <= 500)", ")")

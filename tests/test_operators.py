@@ -247,3 +247,22 @@ def test_replace_and_gates(spark, tmp_path):
     entries = TR.diary_entries(files)
     assert [(r.header, r.body) for r in entries.orderBy("entry_index").collect()] == [("## A", "x"), ("## B", "y")]
     assert X.new_entries(entries, spark.createDataFrame([("p", 1)], "path string, entries int")).count() == 1
+
+
+def test_lexical_search_scores_old_records_too(spark):
+    rows = [(f"r{i:04d}", "lantern and some other words of no use", f"2025-01-01T{i // 60:02d}:{i % 60:02d}:00") for i in range(700)] + [("best", "brass lantern", "2020-01-01T00:00:00")]
+    df = spark.createDataFrame(rows, "id string, content string, filed_at string")
+    asked = spark.createDataFrame([(1, "brass lantern"), (2, "of no"), (3, "missing")], "query_id long, text string")
+    got = [(r.query_id, r.id, r["rank"]) for r in V.lexical_search(df, asked, "id").collect()]
+    assert (1, "best", 1) in got and sum(q == 1 for q, _, _ in got) == 5
+    # no usable word: the latest 500; no match: nothing
+    assert [i for q, i, r in sorted(got, key=lambda x: (x[0], x[2])) if q == 2] == [f"r{i:04d}" for i in range(200, 205)]
+    assert {q for q, _, _ in got} == {1, 2}
+
+
+def test_lexical_search_agrees_where_no_bound_is_met(spark):
+    rows = [(f"r{i}", " ".join(random.Random(i).choices(["of", "tin", "lamp", "oil", "a", "wick"], k=i % 9)), f"2025-01-{i % 28 + 1:02d}") for i in range(120)]
+    df = spark.createDataFrame(rows, "id string, content string, filed_at string")
+    asked = spark.createDataFrame([(1, "a tin of oil"), (2, "lamp lamp"), (3, "of a")], "query_id long, text string")
+    whole, bounded = (sorted(map(tuple, V.lexical_search(df, asked, "id", n=120, whole=w).collect())) for w in (True, False))
+    assert whole == bounded and len(whole) > 200
