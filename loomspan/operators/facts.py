@@ -160,15 +160,16 @@ def claim_conflicts(claim: DataFrame, triples: DataFrame, entities: DataFrame, t
     return met.select("text_id", kind.alias("type"), "subject", F.col("predicate").alias("claimed"), "recorded", "object", "valid_to").filter("type is not null").dropDuplicates()
 
 
-def similar_names(mentioned: DataFrame, registry: DataFrame, most: int = 2) -> DataFrame:
-    """(name, other, distance): registered names at 1 to `most` edits of a mentioned one that aren't mentioned.
+def similar_names(mentioned: DataFrame, registry: DataFrame, most: int = 2, also_mentioned: bool = False) -> DataFrame:
+    """(name, other, distance): registered names at 1 to `most` edits of a mentioned one that aren't mentioned, or `also_mentioned`.
 
     Names at most two edits apart share one of three parts, each name cut at
     the thirds of its length; those parts, at their place give or take the
     edits, join the two sides, so no two names meet without a common part.
     """
     a = mentioned.select("name").filter("name <> ''").distinct()
-    b = registry.select("name").filter("name <> ''").distinct().join(a, "name", "left_anti").withColumnRenamed("name", "other")
+    registered = registry.select("name").filter("name <> ''").distinct()
+    b = (registered if also_mentioned else registered.join(a, "name", "left_anti")).withColumnRenamed("name", "other")
 
     def parts(c: Column) -> Column:
         n = F.char_length(c)

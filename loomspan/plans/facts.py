@@ -69,6 +69,15 @@ def similar_names(spark, sf):
     return K.similar_names(mentioned, people.select("name"))
 
 
+def similar_names_whole(spark, sf):
+    """People that are subject or object of any fact, by id or spelled name, against all registered people."""
+    t, e = _te(spark, sf)
+    people = K.unique_entities(e).filter("type = 'person'").select("id", "name")
+    keys = t.select(F.explode(F.array("subject", "object")).alias("name")).select(K.entity_id(F.col("name")).alias("key")).distinct()
+    mentioned = people.withColumn("key", F.explode(F.array(K.entity_id(F.col("id")), K.entity_id(F.col("name"))))).join(keys, "key", "left_semi").select("name")
+    return K.similar_names(mentioned, people.select("name"), also_mentioned=True)
+
+
 def similar_parts(spark, sf):
     """Part names one or two edits apart, of part brands 1 and 2."""
     p = spark.read.parquet(f"{sf}/customer.parquet")
@@ -77,7 +86,7 @@ def similar_parts(spark, sf):
     return K.similar_names(a, b)
 
 
-QUERIES = {f.__name__: f for f in (facts_about_people, facts_as_of, facts_by_predicate, fact_timeline, fact_stats, fact_inserts, fact_invalidation, contradictions, similar_names, similar_parts)}
+QUERIES = {f.__name__: f for f in (facts_about_people, facts_as_of, facts_by_predicate, fact_timeline, fact_stats, fact_inserts, fact_invalidation, contradictions, similar_names, similar_names_whole, similar_parts)}
 
 _E = "e AS (SELECT id, name, type FROM entities QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at DESC NULLS LAST, name DESC NULLS LAST, type DESC NULLS LAST) = 1)"
 _T = "t AS (SELECT DISTINCT id, subject, predicate, object, valid_from, valid_to FROM triples)"
