@@ -101,28 +101,32 @@ def is_short(text: Column, least: int = 20) -> Column:
     return F.char_length(F.coalesce(text, F.lit(""))) < least
 
 
-def greedy_kept(records: DataFrame, near: DataFrame, group: str = "source_file", text: str = "content", key: str = "id", least: int = 20, most_rounds: int = 100) -> DataFrame:
+def greedy_kept(records: DataFrame, near: DataFrame, group: str = "source_file", text: str = "content", key: str = "id", least: int = 20, most_rounds: int | None = None) -> DataFrame:
     """`records` (key, group, text) with `kept`: longest first, a record goes if it is near one that stays.
 
     `near` (a, b) are the pairs closer than the threshold, of one group. The
     order-dependent rule is settled in rounds: a record whose nearer and longer
     neighbours are all decided is decided too; at least the longest undecided
-    one of each group is, in every round. No group is gathered. Shorter than
-    `least` or without text: not kept. Ties of length go to the lesser key.
+    one of each group is, in every round, until none is left; an error if that takes
+    more than `most_rounds`. No group is gathered. Shorter than `least` or
+    without text: not kept. Ties of length go to the lesser key.
     """
     own = records.select(key, F.col(group).alias("grp"), F.char_length(F.coalesce(text, F.lit(""))).alias("size"))
     long = own.filter(F.col("size") >= least)
     rank = F.struct((-F.col("size")).alias("s"), F.col(key).alias("k"))
-    place = long.select(F.col(key).alias("x"), rank.alias("r"))
+    # one place a key, also where ids repeat, so that no two records wait for each other
+    place = long.groupBy(F.col(key).alias("x")).agg(F.min(rank).alias("r"))
     both = near.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(near.select(F.col("b").alias("x"), F.col("a").alias("y"))).dropDuplicates()
     # edges from a record to those before it
     edges = both.join(place, "x").join(place.select(F.col("x").alias("y"), F.col("r").alias("ry")), "y").filter(F.col("ry") < F.col("r")).select("x", "y")
     edges = checkpointed(edges)
     state = checkpointed(long.select(F.col(key).alias("x")).join(edges.select("x").distinct(), "x", "left_anti").select("x", F.lit(True).alias("kept")))
     todo = checkpointed(edges.select("x").distinct())
-    for _ in range(most_rounds):
-        if not todo.limit(1).collect():
-            break
+    rounds = 0
+    while todo.limit(1).collect():
+        if rounds == most_rounds:
+            raise RuntimeError(f"records are undecided after {most_rounds} rounds")
+        rounds += 1
         seen = edges.join(todo, "x", "left_semi").join(state.select(F.col("x").alias("y"), "kept"), "y", "left")
         verdict = seen.groupBy("x").agg(F.max(F.coalesce("kept", F.lit(False))).alias("hit"), F.max(F.col("kept").isNull()).alias("open"))
         decided = verdict.filter("hit or not open").select("x", (~F.col("hit")).alias("kept"))

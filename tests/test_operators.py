@@ -266,3 +266,13 @@ def test_lexical_search_agrees_where_no_bound_is_met(spark):
     asked = spark.createDataFrame([(1, "a tin of oil"), (2, "lamp lamp"), (3, "of a")], "query_id long, text string")
     whole, bounded = (sorted(map(tuple, V.lexical_search(df, asked, "id", n=120, whole=w).collect())) for w in (True, False))
     assert whole == bounded and len(whole) > 200
+
+
+def test_greedy_never_leaves_records_undecided(spark):
+    # each record near the next longer one: every second is kept
+    docs = [(f"d{i}", "s", "x" * (30 - i)) for i in range(7)]
+    near = [(f"d{i}", f"d{i + 1}") for i in range(6)]
+    args = spark.createDataFrame(docs, "id string, source_file string, content string"), spark.createDataFrame(near, "a string, b string")
+    assert {r.id for r in R.greedy_kept(*args).collect() if r.kept} == {"d0", "d2", "d4", "d6"}
+    with pytest.raises(RuntimeError):
+        R.greedy_kept(*args, most_rounds=2)
