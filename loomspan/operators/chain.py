@@ -1,11 +1,21 @@
-"""Choice among readings by a Viterbi path over each source's record order."""
+"""Choice among readings by a Viterbi path over each source's record order.
+
+A path's cost is the sum of its readings' own costs and of what each reading
+costs after the one before it: a switch of the slash date order that was last
+in force, and a step back in time. Between rows that have several readings the
+others are fixed, so a stretch of them acts on a path only by its first and
+last instant and its first and last date order; the path is searched over the
+rows that leave a choice, each with the stretch before it.
+"""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.runtime import checkpointed, partitions
@@ -14,184 +24,243 @@ from loomspan.runtime import checkpointed, partitions
 SWITCH = 1.0
 BACKWARD = 1.0
 SLASH_ORDERS = ("DMY", "MDY")
-_CHOSEN = "row_key string, spelling string, utc_us long"
+#: Rows of a source's order that one task holds, about.
+ROWS = 200_000
+#: Costs are counted in whole numbers, so that sums are exact; below the unit, earlier readings are preferred on ties.
+UNIT = 1 << 40
+
+_EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
+_SWITCH, _BACKWARD = int(SWITCH * UNIT), int(BACKWARD * UNIT)
+
+#: (instant in us or None, date order in force, number of the reading)
+State = tuple
+#: (first and last instant, first and last date order, 0 where there is none)
+Stretch = tuple[int, int, int, int]
 
 
 def step(a: tuple[str, int, str], b: tuple[str, int, str]) -> float:
-    """Cost of reading `b` straight after `a`; each is (spelling, us, order so far)."""
+    """Cost of reading `b` straight after `a`; each is (spelling, us, order in force)."""
     switch = SWITCH if a[2] and b[0] in SLASH_ORDERS and a[2] != b[0] else 0.0
     return switch + (BACKWARD if b[1] < a[1] else 0.0)
 
 
 def states(rows: list[list[tuple[str, int]]]) -> list[list[tuple[str, int, str]]]:
-    """Readings with the slash order in force, which single readings of other spellings pass on."""
+    """Readings with the slash order in force, which readings of other spellings pass on."""
     out: list[list[tuple[str, int, str]]] = []
     before = {""}
     for row in rows:
-        own: list[tuple[str, int, str]] = []
-        for spelling, at in row:
-            own += [(spelling, at, spelling)] if spelling in SLASH_ORDERS else [(spelling, at, o) for o in sorted(before)]
+        own = [(spelling, at, o) for spelling, at in row for o in ([spelling] if spelling in SLASH_ORDERS else sorted(before))]
         before = {s[2] for s in own}
         out.append(own)
     return out
 
 
-def forward(rows: list[list[tuple[str, int]]], start: dict[tuple[str, int, str], float] | None) -> tuple[list[dict], list[dict]]:
-    """Least costs and best predecessors of each state, from the states and costs before the rows."""
-    costs: list[dict] = []
-    back: list[dict] = []
-    last = start
-    for row in rows:
-        orders = sorted({s[2] for s in last}) if last else [""]
-        own = [(s, at, o) for s, at in row for o in ([s] if s in SLASH_ORDERS else orders)]
-        cost, link = {}, {}
-        for b in own:
-            if last:
-                ways = [(c + step(a, b) + (SWITCH * 10 if b[0] not in SLASH_ORDERS and a[2] != b[2] else 0), a) for a, c in last.items()]
-                cost[b], link[b] = min(ways)
-            else:
-                cost[b], link[b] = 0.0, None
-        costs.append(cost)
-        back.append(link)
-        last = cost
-    return costs, back
+class Segment:
+    """Neighbouring rows of one source: its rows with a choice, each with the stretch before it."""
+
+    def __init__(self, us: np.ndarray, order: np.ndarray, choices: list[int], readings: list[list[tuple[int, int, int]]]):
+        """us and order of every row's first reading; at the rows `choices` all readings (us, order, cost)."""
+        self.readings = readings
+        marked = np.flatnonzero(order)
+        marked = marked[~np.isin(marked, choices)]
+        begin = np.array([0, *[c + 1 for c in choices]], np.int64)
+        end = np.array([*choices, len(us)], np.int64)
+        a, b = np.searchsorted(marked, begin), np.searchsorted(marked, end)
+        orders = order.tolist()
+        self.stretches: list[Stretch | None] = [
+            (int(us[i]), int(us[j - 1]), orders[marked[x]] if x < y else 0, orders[marked[y - 1]] if x < y else 0) if i < j else None
+            for i, j, x, y in zip(begin.tolist(), end.tolist(), a.tolist(), b.tolist())
+        ]
+        self.first = [(int(us[0]), orders[0], 0)] if self.stretches[0] else readings[0]
+
+    def forward(self, start: dict[State, int], only: int | None = None) -> tuple[dict[State, int], list[dict[State, State]]]:
+        """Least cost of each state at the end, and the best predecessor of each state at each row with a choice.
+
+        only: the reading that the first row has, where it is one with a choice.
+        """
+        back: list[dict[State, State]] = []
+        last = start
+        for k, stretch in enumerate(self.stretches):
+            here: dict[State, tuple[int, State]] = {}
+            for s, c in last.items():
+                t = s
+                if stretch:
+                    if s[0] is not None and stretch[0] < s[0]:
+                        c += _BACKWARD
+                    if s[1] and stretch[2] and s[1] != stretch[2]:
+                        c += _SWITCH
+                    t = (stretch[1], stretch[3] or s[1], -1)
+                if t not in here or (c, s) < here[t]:
+                    here[t] = (c, s)
+            if k == len(self.readings):
+                back.append({t: s for t, (_, s) in here.items()})
+                return {t: c for t, (c, _) in here.items()}, back
+            after: dict[State, tuple[int, State]] = {}
+            for i, (us, order, own) in enumerate(self.readings[k]):
+                if k == 0 and only is not None and i != only:
+                    continue
+                for t, (c, s) in here.items():
+                    c += own + i
+                    if t[0] is not None and us < t[0]:
+                        c += _BACKWARD
+                    if t[1] and order and t[1] != order:
+                        c += _SWITCH
+                    n = (us, order or t[1], i)
+                    if n not in after or (c, s) < after[n]:
+                        after[n] = (c, s)
+            back.append({n: s for n, (_, s) in after.items()})
+            last = {n: c for n, (c, _) in after.items()}
+        raise AssertionError
 
+    def chosen(self, start: State | None, end: State | None) -> list[int]:
+        """The reading of each row with a choice, on the best path between two states."""
+        costs, back = self.forward({start or (None, 0, -1): 0})
+        state = end if end in costs else min(costs, key=lambda s: (costs[s], s))
+        out = []
+        for link in reversed(back):
+            state = link[state]
+            out.append(state[2])
+        return out[::-1][1:]
 
-def path(costs: list[dict], back: list[dict], end: tuple | None) -> list[tuple]:
-    """The best path that ends in state `end`, or in the cheapest (day first on ties)."""
-    state = end or min(costs[-1], key=lambda s: (costs[-1][s], s))
-    out = []
-    for link in reversed(back):
-        out.append(state)
-        state = link[state]
-    return out[::-1]
+    def transfer(self) -> list[tuple[int, int, State, int]]:
+        """(first row's reading, date order before it, state at the end, least cost)."""
+        free = not self.stretches[0]
+        return [(i, o, end, c) for i in range(len(self.first)) for o in (0, 1, 2) for end, c in self.forward({(None, o, -1): 0}, i if free else None)[0].items()]
 
 
-def _segments(pdf: pd.DataFrame) -> Iterator[tuple[str, pd.DataFrame]]:
-    for source, part in pdf.groupby("source", sort=False):
-        yield source, part
+def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each source, whole, without repeated rows; at most a range's rows are held."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        source = pdf["source"].to_numpy()
+        cuts = np.flatnonzero(source[1:] != source[:-1]) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(pdf)]):
+            if held and held[0]["source"].iat[0] != source[a]:
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            held.append(pdf.iloc[a:b])
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
-def _readings(part: pd.DataFrame) -> list[list[tuple[str, int]]]:
-    return [[(r["spelling"], int(r["us"])) for r in row] for row in part["readings"]]
+def _segment(pdf: pd.DataFrame) -> Segment:
+    choices = np.flatnonzero(pdf["many"].notna().to_numpy())
+    readings = [[(int(r["us"]), int(r["order"]), int(r["prior"] * UNIT)) for r in row] for row in pdf["many"].to_numpy()[choices]]
+    return Segment(pdf["us"].to_numpy(np.int64), pdf["order"].to_numpy(np.int64), choices.tolist(), readings)
 
 
-def resolve(df: DataFrame) -> DataFrame:
-    """One reading for each row of (row_key, source, at, readings).
+def resolve(df: DataFrame, rows: int | None = None, readings: Column | None = None) -> DataFrame:
+    """One reading of each row of (source, at, readings, further columns).
 
-    `readings` is an array<struct<spelling, utc>>, of one element at least;
-    `at`, then `row_key`, gives a source's record order. Rows lie in ranges of
-    (source, at, row_key), so a source of any share of the rows is spread over
-    many tasks. Each range gives its costs from every state before it to every
-    state at its end; these summaries, one a partition, are joined on the
-    driver, and a second pass walks back inside each range. No readings mean
-    no row. Null sources are one source, ''.
+    Gives the further columns with `spelling`, `utc` and `prior` of the chosen
+    reading. `readings` is an array<struct<spelling, utc[, prior]>>, the more
+    usual first; prior is the reading's own cost, 0 where there is none. `at`,
+    then the further columns, give a source's record order. rows: a bound on
+    the rows of df, where it is known; more ranges are made, the more there are.
+    readings: an expression over df, worked out once the rows lie in order,
+    instead of a column.
+
+    Rows lie in ranges of their order of about ROWS rows, so a source of any
+    share of the rows is spread over many tasks. Each range gives its costs
+    from every state before it to every state at its end; these summaries, two
+    a range at most, are joined on the driver, and a second pass walks back
+    inside each range. No readings mean no row. Null sources are one source, ''.
     """
     spark = df.sparkSession
-    base = df.select(
-        "row_key",
-        F.coalesce("source", F.lit("")).alias("source"),
-        "at",
-        F.transform("readings", lambda r: F.struct(r["spelling"].alias("spelling"), (F.timestamp_diff("SECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), r["utc"]) * 1_000_000).alias("us"))).alias("readings"),
-    ).filter(F.size("readings") > 0)
-    n = partitions(spark)
-    ranged = checkpointed(base.repartitionByRange(n, "source", "at", "row_key").sortWithinPartitions("source", "at", "row_key").withColumn("pid", F.spark_partition_id()))
+    keys = [c for c in df.columns if c not in ("source", "at", "readings")]
+    known = spark.sparkContext.defaultParallelism * ROWS if rows is None else rows
+    n = max(partitions(spark), -(-known // ROWS))
+    own = [] if readings is not None else ["readings"]
+    placed = df.select(*keys, F.coalesce("source", F.lit("")).alias("source"), "at", *own)
+    ordered = placed.repartitionByRange(n, "source", "at", *keys).sortWithinPartitions("source", "at", *keys)
+    if readings is not None:
+        ordered = ordered.withColumn("readings", readings)
+    has_prior = any(f.name == "prior" for f in ordered.schema["readings"].dataType.elementType.fields)
+    one = lambda r: F.struct(
+        r["spelling"].alias("spelling"),
+        F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), r["utc"]).alias("us"),
+        (F.coalesce(F.array_position(F.array(*map(F.lit, SLASH_ORDERS)), r["spelling"]), F.lit(0))).cast("int").alias("order"),
+        (r["prior"].cast("double") if has_prior else F.lit(0.0)).alias("prior"),
+    )
+    # through a generator, which keeps the readings from being worked out once a use
+    read = ordered.select(*keys, "source", F.explode(F.array(F.transform("readings", one))).alias("readings"))
+    first = F.col("readings")[0]
+    ranged = checkpointed(
+        read.filter(F.size("readings") > 0).select(*keys, "source", F.spark_partition_id().alias("pid"), first["spelling"].alias("spelling"), first["us"].alias("us"), first["order"].alias("order"), first["prior"].alias("prior"), F.when(F.size("readings") > 1, F.col("readings")).alias("many"))
+    )
 
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # only the segments at a partition's two ends can go on in another
-        held: list[tuple[int, str, list]] = []
-        current: tuple[int, str, list] | None = None
-        first = None
-        for pdf in batches:
-            for source, part in _segments(pdf):
-                if current and current[1] == source:
-                    current[2].extend(_readings(part))
-                else:
-                    if current and first is None:
-                        first = current
-                    current = (int(part["pid"].iloc[0]), source, _readings(part))
-        held = [x for x in (first, current) if x]
-        rows = []
-        for pid, source, seq in held:
-            free, _ = forward(seq, None)
-            rows.append((pid, source, seq[0], [(s, c) for s, c in free[-1].items()], seq if len(seq) == 1 else None, _matrix(seq)))
-        if rows:
-            yield pd.DataFrame({"pid": [r[0] for r in rows], "source": [r[1] for r in rows], "matrix": [repr(r[5]) for r in rows]})
-
-    import ast
-
-    summaries = sorted(((r.pid, r.source, ast.literal_eval(r.matrix)) for r in ranged.mapInPandas(edges, "pid int, source string, matrix string").collect()), key=lambda r: (r[1], r[0]))
-    ends = _stitch(summaries)
-    shared = spark.sparkContext.broadcast(ends)  # at most two segments a partition
+        # only the sources at a range's two ends can go on in another; the last one seen may be that at its end
+        kept: list[tuple[int, str, bytes]] = []
+        last = None
+        for pdf in _segments(batches):
+            if last is None:
+                s = _segment(pdf)
+                kept.append((int(pdf["pid"].iat[0]), pdf["source"].iat[0], pickle.dumps((s.first, s.transfer()))))
+                last = ()
+            else:
+                last = pdf
+        if last is not None and len(last):
+            s = _segment(last)
+            kept.append((int(last["pid"].iat[0]), last["source"].iat[0], pickle.dumps((s.first, s.transfer()))))
+        yield pd.DataFrame(kept, columns=["pid", "source", "summary"])
+
+    summaries = [(r.source, r.pid, *pickle.loads(bytes(r.summary))) for r in ranged.select("source", "pid", "us", "order", "many").mapInPandas(edges, "pid int, source string, summary binary").collect()]
+    shared = spark.sparkContext.broadcast(_stitch(sorted(summaries, key=lambda r: r[:2])))  # two sources a range at most
+    taken = ["spelling", "us", "prior"]
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: tuple[int, str, list, list] | None = None
-
-        def done(seg: tuple[int, str, list, list]) -> pd.DataFrame:
-            pid, source, keys, seq = seg
-            start, end = shared.value.get((pid, source), (None, None))
-            costs, back = forward(seq, {start: 0.0} if start else None)
-            chosen = path(costs, back, end if end in costs[-1] else None)
-            return pd.DataFrame({"row_key": keys, "spelling": [c[0] for c in chosen], "utc_us": [c[1] for c in chosen]})
-
-        for pdf in batches:
-            for source, part in _segments(pdf):
-                if held and held[1] == source:
-                    held[2].extend(part["row_key"])
-                    held[3].extend(_readings(part))
-                else:
-                    if held:
-                        yield done(held)
-                    held = (int(part["pid"].iloc[0]), source, list(part["row_key"]), _readings(part))
-        if held:
-            yield done(held)
-
-    out = ranged.mapInPandas(walk, _CHOSEN)
-    utc = F.timestamp_add("SECOND", F.floor(F.col("utc_us") / 1_000_000).cast("bigint"), F.expr("timestamp_ntz'1970-01-01 00:00:00'"))
-    return out.select("row_key", "spelling", utc.alias("utc"))
-
-
-def _matrix(seq: list[list[tuple[str, int]]]) -> list[tuple[tuple, tuple, float]]:
-    """Least cost from each first state of a range to each of its last states."""
-    out = []
-    orders = ["", *SLASH_ORDERS]
-    for spelling, at in seq[0]:
-        for first in [(spelling, at, spelling)] if spelling in SLASH_ORDERS else [(spelling, at, o) for o in orders]:
-            if len(seq) == 1:
-                out.append((first, first, 0.0))
-            else:
-                out += [(first, last, cost) for last, cost in forward(seq[1:], {first: 0.0})[0][-1].items()]
-    return out
+        done, n = [], 0
+        for pdf in _segments(batches):
+            pid, source = int(pdf["pid"].iat[0]), pdf["source"].iat[0]
+            at = np.flatnonzero(pdf["many"].notna().to_numpy())
+            out = pdf[[*keys, *taken]]
+            if len(at):
+                choice = _segment(pdf).chosen(*shared.value.get((pid, source), (None, None)))
+                own = [r[i] for r, i in zip(pdf["many"].to_numpy()[at], choice)]
+                values = {c: out[c].to_numpy(copy=True) for c in taken}
+                for c in taken:
+                    values[c][at] = [r[c] for r in own]
+                out = out.assign(**values)
+            done.append(out)
+            n += len(out)
+            if n > 20_000:
+                yield pd.concat(done, ignore_index=True)
+                done, n = [], 0
+        if done:
+            yield pd.concat(done, ignore_index=True)
+
+    kinds = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", spelling string, us long, prior double"
+    found = ranged.mapInPandas(walk, schema)
+    return found.select(*keys, "spelling", F.timestamp_add("MICROSECOND", F.col("us"), F.expr(_EPOCH)).alias("utc"), "prior")
 
 
-def _stitch(summaries: list[tuple[int, str, list]]) -> dict[tuple[int, str], tuple[tuple | None, tuple]]:
-    """(state before a range, state at its end) for each (pid, source)."""
-    ends: dict[tuple[int, str], tuple[tuple | None, tuple]] = {}
-    by: dict[str, list[tuple[int, list]]] = {}
-    for pid, source, matrix in summaries:
-        by.setdefault(source, []).append((pid, matrix))
-    for source, ranges in by.items():
-        costs: list[dict] = []
-        back: list[dict] = []
-        last: dict | None = None
-        for _, matrix in ranges:
-            cost, link = {}, {}
-            for first, end, c in matrix:
-                if last is None:
-                    if first[2] not in ("", first[0]):
-                        continue
-                    way = (c, None)
-                else:
-                    ways = [(p + step(a, first) + c, a) for a, p in last.items() if first[0] in SLASH_ORDERS or a[2] == first[2]]
-                    if not ways:
-                        continue
-                    way = min(ways)
-                if end not in cost or way[0] < cost[end]:
-                    cost[end], link[end] = way
-            costs.append(cost)
-            back.append(link)
-            last = cost
-        chosen = path(costs, back, None)
-        for i, (pid, _) in enumerate(ranges):
-            ends[(pid, source)] = (chosen[i - 1] if i else None, chosen[i])
-    return ends
+def _stitch(summaries: list[tuple[str, int, list, list]]) -> dict[tuple[int, str], tuple[State | None, State]]:
+    """(state before a range, state at its end) for each (pid, source), from rows (source, pid, first readings, transfer)."""
+    out: dict[tuple[int, str], tuple[State | None, State]] = {}
+    at = 0
+    while at < len(summaries):
+        source = summaries[at][0]
+        last: dict[State, int] = {(None, 0, -1): 0}
+        links: list[tuple[int, dict[State, State]]] = []
+        while at < len(summaries) and summaries[at][0] == source:
+            _, pid, first, transfer = summaries[at]
+            here: dict[State, tuple[int, State]] = {}
+            for i, order, end, cost in transfer:
+                for s, c in last.items():
+                    if s[1] == order:
+                        c += cost + (_BACKWARD if s[0] is not None and first[i][0] < s[0] else 0)
+                        if end not in here or (c, s) < here[end]:
+                            here[end] = (c, s)
+            links.append((pid, {e: s for e, (_, s) in here.items()}))
+            last = {e: c for e, (c, _) in here.items()}
+            at += 1
+        state = min(last, key=lambda s: (last[s], s))
+        for pid, link in reversed(links):
+            before = link[state]
+            out[(pid, source)] = (before if before[0] is not None else None, state)
+            state = before
+    return out

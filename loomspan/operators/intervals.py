@@ -1,27 +1,36 @@
-"""Problem 5: merged periods and gaps of intervals per entity.
-
-Time is counted in whole seconds and cut into shards of 2**20 s. An interval
-sets a run of bits in its first and its last shard, and a run of whole shards
-between them; both are kept as (start, end) runs, as a run-compressed bitmap
-keeps them. Runs that start at one second of a shard are combined before the
-shuffle, so a (key, shard) never holds more than 2**20 rows, whatever share of
-all facts one key has; a key's list of shards and of whole-shard runs is as
-long as the time axis at most.
+"""Problem 5: merged periods and gaps of intervals per entity, from run-compressed bitmaps.
+
+Time is counted in whole seconds and cut into shards of 2**20 s. A bitmap holds
+the set seconds of one key and one shard, run-compressed: pairs (first, length
+less one) of 32-bit numbers in order. An interval sets bits in the bitmaps of
+its first and its last shard; the shards that it covers between them are bits
+of one more bitmap a key, whose unit is the shard. Bitmaps are made a batch at
+a time before the shuffle, united for each key and shard, and read in order of
+time: set runs are periods, clear runs between them gaps.
+
+Whatever share of all intervals one key has, a bitmap has at most 2**19 runs,
+and a key's bitmaps are read as a stream of which only the period at its end
+is held.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspan.functions.timestamps import utc_text
-from loomspan.operators.timestamps import triple_seconds
+from loomspan.operators.timestamps import normalise, triple_values
 from loomspan.tables import load
 
 SHARD = 1 << 20
 #: End of an interval without end, the last second of the year 9999.
 FOREVER = 253_402_300_799
+#: The shard of the first second of the year 1, from which whole shards are counted.
+LEAST = -62_135_596_800 // SHARD
 
 
 def entity_key(name: Column) -> Column:
@@ -30,25 +39,160 @@ def entity_key(name: Column) -> Column:
     return F.translate(F.lower(trimmed), " '’", "_")
 
 
-def _shard(second: Column) -> Column:
-    return F.floor(second / SHARD).cast("bigint")
+#: The shard that stands for a key's bitmap of whole shards.
+WHOLE = -(1 << 40)
+
+
+def united(group: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (group, s, e) of the union of the runs of each group; runs that touch are one. All ends are inclusive."""
+    if not len(s):
+        return group, s, e
+    order = np.lexsort((s, group))
+    group, s, e = group[order], s[order], e[order]
+    # groups are set apart, so that one running maximum serves all
+    low = int(s.min())
+    apart = int(e.max()) - low + 3
+    base = np.cumsum(np.concatenate([[0], group[1:] != group[:-1]])) * apart - low
+    a, b = s + base, np.maximum.accumulate(e + base)
+    new = np.concatenate([[True], a[1:] > b[:-1] + 1])
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:], [len(s)]]) - 1
+    return group[first], s[first], b[last] - base[first]
+
+
+def packed(group: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """A run-compressed bitmap of each group of united runs: the groups and the bitmaps' bytes."""
+    if not len(group):
+        return group, []
+    pairs = np.column_stack([s, e - s]).astype("<u4")
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    raw = pairs.tobytes()
+    ends = [*first[1:].tolist(), len(group)]
+    return group[first], [raw[8 * i : 8 * j] for i, j in zip(first.tolist(), ends)]
+
 
+def unpacked(bitmaps: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the bitmap, s, e) of the set runs of bitmaps."""
+    pairs = np.frombuffer(b"".join(bitmaps), "<u4").reshape(-1, 2).astype(np.int64)
+    number = np.repeat(np.arange(len(bitmaps)), [len(b) // 8 for b in bitmaps])
+    return number, pairs[:, 0], pairs[:, 0] + pairs[:, 1]
 
-def shard_runs(intervals: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Runs inside shards (keys, shard, s, e) and runs of whole shards (keys, s, e).
 
-    `intervals` has the keys and inclusive seconds s and e, s <= e.
+def _codes(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """A number for each distinct key; nulls are keys of their own."""
+    return pdf.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+
+
+def shard_bitmaps(intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, shard, bits): a bitmap for each key and shard of a batch of intervals.
+
+    `intervals` has the keys and inclusive seconds s and e, s <= e. The shard
+    WHOLE holds the shards that are wholly set.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            s, e = pdf["s"].to_numpy(np.int64), pdf["e"].to_numpy(np.int64)
+            a, b = s // SHARD, e // SHARD
+            one, row = a == b, np.arange(len(pdf))
+            between = b > a + 1
+            # whole first and last shards need no bit of the other bitmap: their runs touch
+            number = np.concatenate([row, row[~one], row[between]])
+            shard = np.concatenate([a, b[~one], np.full(between.sum(), WHOLE)])
+            first = np.concatenate([s - a * SHARD, np.zeros((~one).sum(), np.int64), a[between] + 1 - LEAST])
+            last = np.concatenate([np.where(one, e - a * SHARD, SHARD - 1), (e - b * SHARD)[~one], b[between] - 1 - LEAST])
+            code = _codes(pdf, keys)[number]
+            _, group = np.unique(np.column_stack([code, shard]), axis=0, return_inverse=True)
+            group = group.ravel()
+            some = np.zeros(group.max() + 1, np.int64)
+            some[group] = np.arange(len(group))
+            groups, bits = packed(*united(group, first, last))
+            at = some[groups]
+            yield pdf[keys].iloc[number[at]].assign(shard=shard[at], bits=bits)
+
+    return intervals.select(*keys, "s", "e").mapInPandas(run, _schema(intervals, keys) + ", shard long, bits binary")
+
+
+def _schema(df: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+
+def united_bitmaps(bitmaps: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, shard, bits): one bitmap for each key and shard, and a row for each run of whole shards at its first shard.
+
+    A run of whole shards is given as a bitmap of one run in the unit of
+    shards, marked by `whole`.
+    """
+    placed = bitmaps.repartition(*keys, "shard").sortWithinPartitions(*keys, "shard")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None  # the bitmap so far of the last key and shard
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            rows = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            code = _codes(rows, [*keys, "shard"])
+            some = np.zeros(code.max() + 1, np.int64)
+            some[code] = np.arange(len(code))
+            number, s, e = unpacked(rows["bits"].tolist())
+            groups, bits = packed(*united(code[number], s, e))
+            one = rows[[*keys, "shard"]].iloc[some[groups]].assign(bits=bits)
+            held = one.iloc[-1:]
+            yield done(one.iloc[:-1])
+        if held is not None:
+            yield done(held)
+
+    def done(one: pd.DataFrame) -> pd.DataFrame:
+        whole = (one["shard"] == WHOLE).to_numpy()
+        parts = one[~whole].assign(whole=False)
+        number, s, e = unpacked(one["bits"][whole].tolist())
+        _, runs = packed(np.arange(len(s)), s, e)
+        runs = one[keys][whole].iloc[number].assign(shard=s + LEAST, whole=True, bits=runs)
+        return pd.concat([parts, runs], ignore_index=True)[[*keys, "shard", "whole", "bits"]]
+
+    return placed.mapInPandas(run, _schema(bitmaps, keys) + ", shard long, whole boolean, bits binary")
+
+
+def set_runs(intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, period_from, period_to, gap_to) in seconds: the set runs of each key, and where the next begins.
+
+    gap_to is null after a key's last run. Runs that touch are one. Null keys
+    are keys of their own. No intervals, no rows.
     """
-    a, b = _shard(F.col("s")), _shard(F.col("e"))
-    cut = F.when(a == b, F.array(F.struct(a.alias("shard"), F.col("s").alias("s"), F.col("e").alias("e")))).otherwise(
-        F.array(
-            F.struct(a.alias("shard"), F.col("s").alias("s"), ((a + 1) * SHARD - 1).alias("e")),
-            F.struct(b.alias("shard"), (b * SHARD).alias("s"), F.col("e").alias("e")),
-        )
-    )
-    inside = intervals.select(*keys, F.explode(cut).alias("r")).groupBy(*keys, F.col("r.shard").alias("shard"), F.col("r.s").alias("s")).agg(F.max("r.e").alias("e"))
-    whole = intervals.filter(b > a + 1).groupBy(*keys, ((a + 1) * SHARD).alias("s")).agg(F.max(b * SHARD - 1).alias("e"))
-    return inside, whole
+    one = united_bitmaps(shard_bitmaps(intervals, keys), keys)
+    # a run of whole shards comes before the bits of the shard that it begins with
+    placed = one.repartition(*keys).sortWithinPartitions(*keys, "shard", F.desc("whole"))
+    columns = [*keys, "period_from", "period_to", "gap_to"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # the last run so far, of the last key; it may grow with the next batch
+        held: pd.DataFrame | None = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            shard, whole = pdf["shard"].to_numpy(np.int64), pdf["whole"].to_numpy(bool)
+            number, s, e = unpacked(pdf["bits"].tolist())
+            at = whole[number]
+            s, e = np.where(at, (s + LEAST) * SHARD, s + shard[number] * SHARD), np.where(at, (e + LEAST + 1) * SHARD - 1, e + shard[number] * SHARD)
+            rows = pdf[keys].iloc[number].assign(period_from=s, period_to=e)
+            if held is not None:
+                rows = pd.concat([held, rows], ignore_index=True)
+            code = _codes(rows, keys)
+            group, s, e = united(code, rows["period_from"].to_numpy(np.int64), rows["period_to"].to_numpy(np.int64))
+            some = np.zeros(code.max() + 1, np.int64)
+            some[code] = np.arange(len(code))
+            runs = rows[keys].iloc[some[group]].assign(period_from=s, period_to=e)
+            same = np.concatenate([group[1:] == group[:-1], [False]])
+            runs["gap_to"] = pd.array(np.concatenate([s[1:], [0]]), "Int64")
+            runs.loc[~same, "gap_to"] = pd.NA
+            held = runs.iloc[-1:][[*keys, "period_from", "period_to"]]
+            yield runs.iloc[:-1][columns]
+        if held is not None:
+            yield held.assign(gap_to=pd.array([None], "Int64"))[columns]
+
+    return placed.mapInPandas(run, _schema(one, keys) + ", period_from long, period_to long, gap_to long")
 
 
 def gaps(intervals: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,37 +200,13 @@ def gaps(intervals: DataFrame, keys: list[str]) -> DataFrame:
 
     gap_from is the last set second before the gap, gap_to the first after it.
     Intervals that touch (start at most one second after an end) leave no gap.
-    Null keys are keys of their own. No intervals, no rows.
     """
-    inside, whole = shard_runs(intervals, keys)
-    # shuffled by (keys, shard) once, for the window and for the summary
-    in_shard = W.partitionBy(*keys, "shard").orderBy("s")
-    runs = inside.withColumn("before", F.max("e").over(in_shard.rowsBetween(W.unboundedPreceding, -1)))
-    clear = runs.filter(F.col("s") > F.col("before") + 1).select(*keys, "shard", F.col("before").alias("gap_from"), F.col("s").alias("gap_to"))
-    summary = inside.groupBy(*keys, "shard").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    pieces = summary.withColumn("whole", F.lit(False)).unionByName(whole.withColumn("shard", _shard(F.col("s"))).withColumn("whole", F.lit(True)))
-    along = W.partitionBy(*keys).orderBy("s", F.desc("whole"), "shard")
-    before = along.rowsBetween(W.unboundedPreceding, -1)
-    joined = pieces.withColumn("last", F.max("e").over(before)).withColumn("covered", F.max(F.when(F.col("whole"), F.col("e"))).over(before))
-    between = joined.filter(F.col("s") > F.col("last") + 1).select(*keys, F.col("last").alias("gap_from"), F.col("s").alias("gap_to"))
-    # clear runs of a shard that a run of whole shards covers are no gaps
-    hidden = joined.filter(~F.col("whole") & (F.col("covered") >= (F.col("shard") + 1) * SHARD - 1)).select(*keys, "shard")
-    same = clear["shard"] == hidden["shard"]
-    for k in keys:
-        same = same & clear[k].eqNullSafe(hidden[k])
-    inner = clear.join(hidden, same, "left_anti").select(*keys, "gap_from", "gap_to")
-    return between.unionByName(inner)
+    return set_runs(intervals, keys).filter("gap_to is not null").select(*keys, F.col("period_to").alias("gap_from"), "gap_to")
 
 
 def periods(intervals: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, period_from, period_to) in seconds: the merged periods, from the ends and the gaps between."""
-    ends = intervals.groupBy(*keys).agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    g = gaps(intervals, keys)
-    starts = ends.select(*keys, F.col("s").alias("at"), F.lit(0).alias("kind")).unionByName(g.select(*keys, F.col("gap_to").alias("at"), F.lit(0).alias("kind")))
-    stops = ends.select(*keys, F.col("e").alias("at"), F.lit(1).alias("kind")).unionByName(g.select(*keys, F.col("gap_from").alias("at"), F.lit(1).alias("kind")))
-    order = W.partitionBy(*keys).orderBy("at", "kind")
-    both = starts.unionByName(stops).withColumn("period_to", F.lead("at").over(order))
-    return both.filter("kind = 0").select(*keys, F.col("at").alias("period_from"), "period_to")
+    """(keys, period_from, period_to) in seconds: the merged periods, which are the set runs."""
+    return set_runs(intervals, keys).drop("gap_to")
 
 
 def fact_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,14 +216,17 @@ def fact_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     an unreadable end, or an end that isn't after the start. A null or blank
     end is FOREVER. A null predicate is a predicate of its own.
     """
-    times = triple_seconds(spark, sf_dir)
-    facts = load(spark, sf_dir, "triples").select("id", entity_key(F.col("subject")).alias("subject"), "predicate", "valid_from", "valid_to").filter("subject <> ''")
-    starts = times.filter("field_name = 'valid_from'").select(F.col("record_id").alias("id"), F.col("value").alias("valid_from"), F.col("at").alias("s")).dropDuplicates()
-    ends = times.filter("field_name = 'valid_to'").select(F.col("record_id").alias("id"), F.col("value").alias("valid_to"), F.col("at").alias("ended")).dropDuplicates()
-    timed = facts.dropDuplicates().join(starts, ["id", "valid_from"]).join(ends, ["id", "valid_to"], "left")
-    without_end = F.coalesce(F.col("valid_to"), F.lit("")).rlike(r"^\s*$")
-    e = F.when(without_end, F.lit(FOREVER)).otherwise(F.col("ended"))
-    return timed.select("subject", "predicate", "s", e.alias("e")).filter("e > s")
+    facts = load(spark, sf_dir, "triples").select("*", entity_key(F.col("subject")).alias("subject_key"), F.col("valid_from").alias("from_value"), F.col("valid_to").alias("to_value")).filter("subject_key <> ''")
+    row = ["subject_key", "predicate", "from_value", "to_value"]
+    rows = 2 * load(spark, sf_dir, "triples").count()  # from the files' footers
+    timed = normalise(triple_values(spark, sf_dir, facts, tuple(row)), rows)
+    # both times of a fact: they come from one row, which its id and both values tell apart
+    at = lambda field: F.max(F.when(F.col("field_name") == field, F.col("utc")))
+    seconds = lambda c: F.timestamp_diff("SECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col(c))
+    facts = timed.groupBy("record_id", *row).agg(at("valid_from").alias("s"), at("valid_to").alias("e"))
+    without_end = F.coalesce(F.col("to_value"), F.lit("")).rlike(r"^\s*$")
+    e = F.when(without_end, F.lit(FOREVER)).otherwise(seconds("e"))
+    return facts.select(F.col("subject_key").alias("subject"), "predicate", seconds("s").alias("s"), e.alias("e")).filter("e > s")
 
 
 def _text(second: str) -> Column:

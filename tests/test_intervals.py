@@ -57,3 +57,27 @@ def test_query(spark, sf):
     assert {tuple(r) for r in iv.gaps(iv.fact_intervals(spark, sf), ["subject", "predicate"]).collect()} == plain(rows)[0]
     found = iv.p5_found(spark, sf)
     assert found.columns == ["subject", "predicate", "gap_from", "gap_to"] and found.count() == found.distinct().count()
+
+
+def test_hot_key_and_shard_over_many_batches(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(40_000):
+        s = rng.randrange(0, 3 * iv.SHARD) if i % 3 else rng.randrange(0, 4000) * 7
+        rows.append(("hot" if i % 3 == 0 else f"k{i % 11}", "p", s, s + rng.choice([1, 3, 60, 2 * iv.SHARD if i % 500 == 0 else 5])))
+    check(spark, rows)
+
+
+def test_before_1970_and_far_ends(spark):
+    year_1 = -62_135_596_800
+    check(spark, [("a", "p", year_1, year_1 + 10), ("a", "p", -50, -1), ("a", "p", 0, 3), ("a", "p", -10 * iv.SHARD, -7 * iv.SHARD - 1), ("a", "p", 5 * iv.SHARD, iv.FOREVER), (None, None, 1, 2)])
+
+
+def test_bitmaps_give_their_runs_back():
+    import numpy as np
+
+    group, s, e = iv.united(np.array([1, 0, 1, 1, 0]), np.array([5, 0, 1, 8, 4]), np.array([7, 2, 3, 9, 4]))
+    assert list(zip(group.tolist(), s.tolist(), e.tolist())) == [(0, 0, 2), (0, 4, 4), (1, 1, 3), (1, 5, 9)]
+    groups, bits = iv.packed(group, s, e)
+    number, a, b = iv.unpacked(bits)
+    assert groups.tolist() == [0, 1] and (groups[number] == group).all() and (a == s).all() and (b == e).all()

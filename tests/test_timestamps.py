@@ -120,3 +120,52 @@ def test_query(spark, sf):
     assert df.columns == ["record_table", "record_id", "field_name", "utc"]
     assert df.count() == df.distinct().count() > 300
     assert df.filter(~F.col("utc").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$")).count() == 0
+
+
+def utc_of(spark, rows):
+    """{record_id: utc} of (record_id, value, source, at, home_zone, date_order)."""
+    from loomspan.operators.timestamps import normalise
+
+    df = spark.createDataFrame(rows, "record_id string, value string, source string, at string, home_zone string, date_order string")
+    out = normalise(df.withColumn("end_of_day", F.lit(False)), len(rows))
+    return {r.record_id: r.u for r in out.select("record_id", utc_text(F.col("utc")).alias("u")).collect()}
+
+
+def test_the_chain_decides_what_no_rule_does(spark):
+    around = [("a", "2021-02-01", "s", "1", None, None), ("c", "2021-03-20", "s", "3", None, None)]
+    # by the order of the records 03/02 is the second of March, against the first reading's third of February
+    assert utc_of(spark, [("a", "2021-02-20", "s", "1", None, None), ("b", "03/02/2021", "s", "2", None, None), around[1]])["b"] == "2021-03-02T00:00:00Z"
+    assert utc_of(spark, [around[0], ("b", "03/02/2021", "s", "2", None, None), ("c", "2021-02-20", "s", "3", None, None)])["b"] == "2021-02-03T00:00:00Z"
+    # a later date that is month first in any case carries its order back to those that leave it open
+    rows = [("x", "05/06/2020", "s", "1", None, None), ("y", "07/08/2020", "s", "2", None, None), ("z", "12/25/2020", "s", "3", None, None)]
+    assert utc_of(spark, rows) == {"x": "2020-05-06T00:00:00Z", "y": "2020-07-08T00:00:00Z", "z": "2020-12-25T00:00:00Z"}
+
+
+def test_rules_outweigh_the_chain(spark):
+    rows = [("a", "2021-02-20", "s", "1", None, "DMY"), ("b", "03/02/2021", "s", "2", None, "DMY"), ("c", "2021-03-20", "s", "3", None, "DMY")]
+    assert utc_of(spark, rows)["b"] == "2021-02-03T00:00:00Z"
+    # a month of 25 is impossible where the day comes first
+    assert utc_of(spark, [("a", "12/25/2020", "s", "1", None, "DMY")]) == {}
+
+
+def test_all_readings(spark):
+    def all_of(value, zone=None, order=None):
+        df = spark.createDataFrame([(value, zone, order)], "v string, zone string, o string")
+        return [(str(r.utc), r.prior) for r in df.select(readings(F.col("v"), F.col("zone"), F.col("o")).alias("r")).first().r]
+
+    assert all_of("2021-11-07T01:30:00", "America/New_York") == [("2021-11-07 05:30:00", 0.0), ("2021-11-07 06:30:00", 5.0)]
+    assert all_of("2020-01-02 10:00:00 IST") == [("2020-01-02 04:30:00", 0.0), ("2020-01-02 08:00:00", 5.0), ("2020-01-02 09:00:00", 5.0)]
+    assert all_of("1572768392") == [("2019-11-03 08:06:32", 0.0), ("1970-01-19 04:52:48", 5.0)]
+    assert all_of("02/03/2020", None, "MDY") == [("2020-02-03 00:00:00", 0.0), ("2020-03-02 00:00:00", 5.0)]
+
+
+def test_a_hot_source_over_many_ranges(spark):
+    rng = random.Random(2)
+    rows, at = [], datetime(2015, 1, 1)
+    for i in range(3000):
+        at += timedelta(days=rng.random())
+        spelled = at.strftime("%m/%d/%Y") if rng.random() < 0.7 else at.strftime("%Y-%m-%d")
+        rows.append((f"{i:05d}", spelled, "hot", f"{i:05d}", None, None))
+    got = utc_of(spark, rows)
+    # month first throughout: one order without a step back
+    assert all(got[r[0]] == (datetime.strptime(r[1], "%m/%d/%Y") if "/" in r[1] else datetime.strptime(r[1], "%Y-%m-%d")).strftime("%Y-%m-%dT00:00:00Z") for r in rows)
