@@ -1,24 +1,30 @@
 """Problem 8: encoding of the whole corpus by a tokenization automaton.
 
-The automaton reads a word's bytes. Its state after a byte is the last token
-of the encoding of what it has read; an arc is labelled with a token and leads
-from the state before the token's first byte. Merges are compiled in their
-order: the gadget of a merge (u, v) -> w adds arcs w wherever u then v were
-allowed, and removes v after u. Whether v may follow u in the finished
-automaton is read off the gadgets of the two tokens' own merges, so the arcs
-of a state are made when first wanted and kept in a table. Since exactly one
-token is allowed to end at each byte, encoding needs no search: one pass over
-the bytes fills the table of states, and the arc labels on the way back are
-the ids.
+The automaton has a state for each token, the one read last, and arcs labelled
+with tokens. It is compiled from the merges, one gadget each in their order:
+the gadget of (u, v) -> w adds the arc w wherever u then v was allowed and
+takes the arc v away from the states that the arc u leads to. Of all tokens
+that begin with v those lose their arc whose own merges over v come no earlier
+than the gadget's; with the tokens numbered so that each token stands before
+those that it is the left part of, later merges first, they are one range of
+numbers. A state's lost arcs are therefore a table of ranges. Arcs are read
+byte by byte through a table of transitions that all states share, so a word
+is encoded by walking tables: each prefix of a word has one state only, and
+the labels on the way back are the ids.
+
+The tables are compiled once, on the driver, and broadcast; executors need no
+vocabulary file. Their size is that of the vocabulary, whatever the corpus.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
+import hashlib
 import importlib.util
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -45,77 +51,155 @@ class Automaton:
     """A deterministic automaton for one byte-level BPE vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ids = ranks
+        self.key = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
         self.texts = {i: t for t, i in ranks.items()}
-        self.longest = max(map(len, ranks))
         #: For each token its merge (left, right); bytes have none.
-        self.merges: dict[int, tuple[int, int]] = {}
-        self.follows: dict[tuple[int, int], bool] = {}
-        self._compile()
-
-    def _compile(self) -> None:
-        """One gadget for each merge, in order; ids are in the order of the merges."""
-        for text, i in sorted(self.ids.items(), key=lambda x: x[1]):
-            if len(text) > 1:
-                # the tokens are merges of two earlier ones: the pair whose encoding is just that pair
-                for cut in range(1, len(text)):
-                    u, v = self.ids.get(text[:cut]), self.ids.get(text[cut:])
-                    if u is not None and v is not None and u < i and v < i and self._compatible(u, v, i):
-                        self.merges[i] = (u, v)
-                        break
+        self.merges = _merges(ranks)
+        self._compile(ranks)
+
+    def _compile(self, ranks: dict[bytes, int]) -> None:
+        """The tables of states and of transitions."""
+        made = sorted(i for t, i in ranks.items() if len(t) == 1 or i in self.merges)
+        begun: dict[int, list[int]] = {i: [] for i in made}  # tokens by their left part, later merges first
+        gadgets: dict[int, list[tuple[int, int]]] = {i: [] for i in made}  # (token made, right part) by the left part
+        for w in reversed([i for i in made if i in self.merges]):
+            u, v = self.merges[w]
+            begun[u].append(w)
+            gadgets[u].append((w, v))
+        number: dict[int, int] = {}
+        last: dict[int, int] = {}  # the last number of a token and those that begin with it
+        for root in (i for i in made if i not in self.merges):
+            stack = [root]
+            while stack:
+                t = stack.pop()
+                if t < 0:
+                    last[~t] = len(number) - 1
+                else:
+                    number[t] = len(number)
+                    stack.append(~t)
+                    stack.extend(reversed(begun[t]))
+
+        def lost(v: int, w: int) -> tuple[int, int]:
+            """Numbers of the tokens that begin with v and aren't yet made of it when the merge w comes."""
+            later = [c for c in begun[v] if c >= w]
+            return number[v], last[later[-1]] if later else number[v]
+
+        ranges = {u: [(w, *lost(v, w)) for w, v in sorted(g)] for u, g in gadgets.items()}
+        low, high, first = [], [], {}
+        for u in made:
+            # the gadgets of u, and those of its right parts that come before these were merged away
+            own, part, until = [], u, 1 << 60
+            while True:
+                own += [(x, y) for w, x, y in ranges[part] if w < until]
+                if part not in self.merges:
+                    break
+                part, until = self.merges[part][1], part
+            begin, at = len(low), -1
+            for x, y in sorted(own):
+                if x <= at + 1 and len(low) > begin:
+                    at = high[-1] = max(at, y)
+                else:
+                    low.append(x)
+                    high.append(y)
+                    at = y
+            first[u] = (begin, len(low))
+        size = max(ranks.values()) + 1
+        self.low, self.high = np.array(low, np.int32), np.array(high, np.int32)
+        self.begin, self.end, self.number = np.zeros(size, np.int32), np.zeros(size, np.int32), np.full(size, -1, np.int32)
+        for u, (x, y) in first.items():
+            self.begin[u], self.end[u], self.number[u] = x, y, number[u]
+        go: dict[int, int] = {}
+        label = [-1]
+        for i in made:
+            node = 0
+            for c in self.texts[i]:
+                key = node << 8 | c
+                if key not in go:
+                    go[key] = len(label)
+                    label.append(-1)
+                node = go[key]
+            label[node] = i
+        self.go = np.array(list(go.items()), np.int64)
+        self.label = np.array(label, np.int32)
+
+    @functools.cached_property
+    def tables(self) -> tuple:
+        """The tables in the form in which single entries are read fastest."""
+        return dict(self.go.tolist()), self.label.tolist(), self.begin.tolist(), self.end.tolist(), self.number.tolist(), self.low.tolist(), self.high.tolist()
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "tables"}
 
     def allowed(self, u: int, v: int) -> bool:
-        """May v follow u: is the encoding of their joined text just the two of them?"""
-        key = (u, v)
-        known = self.follows.get(key)
-        if known is None:
-            known = self.follows[key] = self._compatible(u, v, len(self.ids) + 1)
-        return known
-
-    def _compatible(self, u: int, v: int, limit: int) -> bool:
-        """Walks the two tokens' merges back, last first; false if a merge across the border comes before them."""
-        while True:
-            joined = self.ids.get(self.texts[u] + self.texts[v])
-            if joined is not None and joined < limit and self.merges.get(joined) == (u, v):
-                return False
-            if u > v:
-                limit = u
-                if u not in self.merges:
-                    return True
-                u = self.merges[u][1]
-                if u == limit:
-                    limit = v + 1
-            else:
-                limit = v + 1
-                if v not in self.merges:
-                    return True
-                v, last = self.merges[v][0], v
-                if v == last:
-                    limit = u
+        """Has the state of u an arc v: is the encoding of their joined text just the two of them?"""
+        _, _, begin, end, number, low, high = self.tables
+        k = bisect.bisect_right(low, number[v], begin[u], end[u]) - 1
+        return k < begin[u] or high[k] < number[v]
 
     def encode(self, word: bytes) -> tuple[int, ...]:
-        whole = self.ids.get(word)
-        if whole is not None and (whole in self.merges or len(word) == 1):
-            return (whole,)
-        ids, allowed, longest = self.ids, self.allowed, self.longest
-        state = [-1] * (len(word) + 1)
-        begin = [0] * (len(word) + 1)
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - longest), end):
-                token = ids.get(word[start:end])
-                if token is not None and (start == 0 or allowed(state[start], token)) and (token in self.merges or end - start == 1):
-                    state[end], begin[end] = token, start
+        go, label, begin, end, number, low, high = self.tables
+        n = len(word)
+        state, start = [-1] * (n + 1), [0] * (n + 1)
+        for i in range(n):
+            u = state[i]
+            x, y = (begin[u], end[u]) if i else (0, 0)
+            node, j = 0, i
+            while j < n:
+                node = go.get(node << 8 | word[j], 0)
+                if not node:
                     break
-        out, end = [], len(word)
-        while end:
-            out.append(state[end])
-            end = begin[end]
+                j += 1
+                t = label[node]
+                if t >= 0 and state[j] < 0:
+                    if y > x:
+                        k = bisect.bisect_right(low, number[t], x, y) - 1
+                        if k >= x and high[k] >= number[t]:
+                            continue
+                    state[j], start[j] = t, i
+        out, at = [], n
+        while at:
+            out.append(state[at])
+            at = start[at]
         return tuple(out[::-1])
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(self.texts[i] for i in ids)
 
 
+def _merges(ranks: dict[bytes, int]) -> dict[int, tuple[int, int]]:
+    """The merge (left, right) of each token, found in order: the two tokens that its text was before.
+
+    Of all ways to part a text into two earlier tokens it is the one in which
+    no merge across the border comes before the parts' own. Walking both parts'
+    merges back, the latest first, is the pair test of published linear-time
+    encoders for byte-pair vocabularies.
+    """
+    texts = {i: t for t, i in ranks.items()}
+    merges: dict[int, tuple[int, int]] = {}
+
+    def apart(u: int, v: int, limit: int) -> bool:
+        while True:
+            joined = ranks.get(texts[u] + texts[v])
+            if joined is not None and joined < limit and merges.get(joined) == (u, v):
+                return False
+            if u > v:
+                if u not in merges:
+                    return True
+                limit, u = u, merges[u][1]
+            else:
+                if v not in merges:
+                    return True
+                limit, v = v + 1, merges[v][0]
+
+    for text, i in sorted(ranks.items(), key=lambda x: x[1]):
+        for cut in range(1, len(text)):
+            u, v = ranks.get(text[:cut]), ranks.get(text[cut:])
+            if u is not None and v is not None and u < i and v < i and apart(u, v, i):
+                merges[i] = (u, v)
+                break
+    return merges
+
+
 # The pre-splitting pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same in the standard library's classes, which agree on texts without the characters of _UNLIKE.
@@ -184,8 +268,6 @@ class Encoder:
         if len(chunks) > CACHE or len(self.words) > CACHE:
             chunks.clear()
             self.words.clear()
-        if len(self.automaton.follows) > 10 * CACHE:
-            self.automaton.follows.clear()
         return out
 
 
@@ -199,10 +281,26 @@ def vocabulary_path(folder: str = TOKENIZERS, name: str = VOCABULARY) -> str:
 
 @functools.lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
-    """The worker's encoder of one vocabulary file, built once a process."""
+    """The encoder of one vocabulary file, compiled once a process."""
     return Encoder(Automaton(ranks_of(path)))
 
 
+_OWN: dict[str, Encoder] = {}
+
+
+def _shared(df: DataFrame, path: str) -> Callable[[], Encoder]:
+    """Compiles the automaton on the driver; gives what finds a worker's own encoder of it."""
+    automaton = df.sparkSession.sparkContext.broadcast(encoder(path).automaton)  # of the size of the vocabulary
+
+    def own() -> Encoder:
+        a = automaton.value
+        if a.key not in _OWN:
+            _OWN[a.key] = Encoder(a)
+        return _OWN[a.key]
+
+    return own
+
+
 def encode_texts(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
     """(key, ids) of each row; the empty and the null text have an empty list.
 
@@ -210,8 +308,10 @@ def encode_texts(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
     tokens are ordinary text; blank texts are encoded as they are.
     """
 
+    own = _shared(df, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = own()
         for b in batches:
             flat: list[int] = []
             ends = [0]
@@ -229,8 +329,10 @@ def encode_texts(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
 def decode_texts(df: DataFrame, key: str, path: str) -> DataFrame:
     """(key, text) from (key, ids): the labels along the arcs; null ids give a null text."""
 
+    own = _shared(df, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = encoder(path).automaton
+        auto = own().automaton
         for b in batches:
             texts = [None if i is None else auto.decode(i).decode("utf-8", "replace") for i in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[key, "text"])
@@ -248,10 +350,10 @@ def p8_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    path = vocabulary_path()
+    own = _shared(docs, vocabulary_path())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = own()
         for b in batches:
             n, same = [], []
             for t in b.column(1).to_pylist():

@@ -55,3 +55,44 @@ def test_rows(spark, sf, library):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in tk.p8_ids(spark, sf).collect():
         assert r.ids == library.encode(texts[r.doc_id], add_special_tokens=False).ids
+
+
+def test_arcs_are_those_of_the_merges():
+    import random
+
+    import tiktoken
+
+    ranks = tk.ranks_of(tk.vocabulary_path())
+    a = ENC.automaton
+    core = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+    rng, kept = random.Random(5), sorted(i for i in a.texts if a.number[i] >= 0)
+    ascii_ = [i for i in kept if a.texts[i].isascii() and len(a.texts[i]) < 6]
+    seen = set()
+    for _ in range(4000):
+        u, v = rng.choice(ascii_), rng.choice(ascii_)
+        joined = core.encode_ordinary((a.texts[u] + a.texts[v]).decode())
+        assert a.allowed(u, v) == (joined == [u, v])
+        seen.add(joined == [u, v])
+    assert seen == {True, False}
+    for w, (u, v) in list(a.merges.items())[::50]:
+        assert not a.allowed(u, v) and a.texts[u] + a.texts[v] == a.texts[w]
+
+
+def test_a_small_vocabulary_of_repeated_letters():
+    ranks = {bytes([i]): i for i in range(256)} | {b"aa": 256, b"aaaa": 257, b"ab": 258, b"aab": 259}
+    a = tk.Automaton(ranks)
+
+    def merged(word):
+        parts = [bytes([c]) for c in word]
+        while True:
+            best = min(((ranks[x + y], k) for k, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in ranks), default=None)
+            if best is None:
+                return tuple(ranks[p] for p in parts)
+            k = best[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+    import itertools
+
+    for n in range(1, 9):
+        for w in itertools.product(b"ab", repeat=n):
+            assert a.encode(bytes(w)) == merged(bytes(w))
