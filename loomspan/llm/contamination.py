@@ -1,11 +1,13 @@
 """Problem 9: held-out passages inside a corpus, by q-gram filtering.
 
-Texts are reduced to lower-case words parted by single blanks. By the q-gram
-lemma a passage of L characters that occurs with at most e edits shares at
-least L + 1 - q (e + 1) q-grams with its place, all in a band of neighbouring
-diagonals (place in the document minus place in the item). Hits are counted
-in overlapping bands; regions that meet the bound are verified by an alignment
-within the band. Documents are only scanned: there is no shuffle of texts.
+Texts are reduced to lower-case words, each between blanks. By the q-gram lemma
+a passage of L characters that occurs with at most e edits shares at least
+L + 1 - q (e + 1) q-grams with its place, all in a band of e + 1 neighbouring
+diagonals (place in the document minus place in the item). Hits are counted in
+overlapping bands; regions that meet the bound are verified by an alignment
+that stays in the band. Items are indexed in classes by the length of their
+shortest passage, each with a q of its own, so a short item doesn't weaken the
+filter for the others. Documents are only scanned: no texts are shuffled.
 """
 
 from __future__ import annotations
@@ -13,16 +15,21 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomspan.tables import load
 
 #: Consecutive words of an item that make a leak; items with fewer count as a whole.
 WORDS = 12
+#: Edited characters that the search allows in a passage; p9_found keeps the passages without one.
+EDITS = 1
+#: The q of a class of items: the greatest that leaves half of a passage's q-grams after the edits.
+QS = (16, 12, 8, 5, 3, 2, 1)
 #: Characters of item text in one index; more items are taken in several scans.
 BLOCK_CHARACTERS = 8_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -99,11 +106,11 @@ def qgram_hashes(code: np.ndarray, q: int) -> np.ndarray:
 
 
 class ItemIndex:
-    """The q-grams of some items and the bounds of the lemma."""
+    """The q-grams of some items, in classes by their shortest passage, and the bounds of the lemma."""
 
-    def __init__(self, items: list[tuple[int, str]], words: int = WORDS, edits: int = 0, q: int = 24):
-        self.ids, self.texts, self.windows = [], [], []
-        shortest, longest = [], []
+    def __init__(self, items: list[tuple[int, str]], words: int = WORDS, edits: int = EDITS, q: int = QS[0]):
+        self.edits, self.ids, self.texts, self.windows = edits, [], [], []
+        classes: dict[int, list[int]] = {}
         for item, text in items:
             f = _padded(text)
             blanks = np.flatnonzero(f == 32)
@@ -111,51 +118,80 @@ class ItemIndex:
             if n < 1:
                 continue
             size = min(words, n)
-            spans = [(int(blanks[i]) + 1, int(blanks[i + size])) for i in range(n - size + 1)]
+            # a passage with the blanks around it
+            spans = np.column_stack([blanks[: n - size + 1], blanks[size:] + 1])
+            shortest = int((spans[:, 1] - spans[:, 0]).min())
+            own = next((x for x in QS if x <= q and x * 2 * (edits + 1) <= shortest), 1)
+            classes.setdefault(own, []).append(len(self.ids))
             self.ids.append(item)
             self.texts.append(f)
             self.windows.append(spans)
-            shortest.append(min(b - a for a, b in spans))
-            longest.append(max(b - a for a, b in spans))
-        self.edits = edits
-        # the lemma needs q (e + 1) <= L for every passage
-        self.q = max(1, min([q, *[s // (edits + 1) for s in shortest]]))
-        self.bound = np.array([s + 1 - self.q * (edits + 1) for s in shortest], np.int64)
-        self.longest = np.array(longest, np.int64)
-        self.strings = ["".join(map(chr, f)) for f in self.texts]
-        hashes, item_of, place = [], [], []
-        for i, f in enumerate(self.texts):
-            h = qgram_hashes(f, self.q)
-            hashes.append(h)
-            item_of.append(np.full(len(h), i))
-            place.append(np.arange(len(h)))
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        self.shortest = np.array([(w[:, 1] - w[:, 0]).min() for w in self.windows], np.int64)
+        self.longest = np.array([(w[:, 1] - w[:, 0]).max() for w in self.windows], np.int64)
+        self.classes = [_ClassIndex(self, q, np.array(members)) for q, members in sorted(classes.items())]
+        self.flat = np.concatenate([*self.texts, np.zeros(0, np.uint32)])
+        self.offset = np.cumsum([0, *map(len, self.texts)])
+
+    def regions(self, code: np.ndarray, text_of: np.ndarray) -> np.ndarray:
+        """Rows (text, item, least and greatest diagonal, first and last place) of the bands that meet the bound."""
+        return np.concatenate([np.zeros((0, 6), np.int64), *[c.regions(code, text_of) for c in self.classes]])
+
+    def verified(self, code: np.ndarray, regions: np.ndarray) -> np.ndarray:
+        """Rows (text, item, edits): the least edits of an item's passage in each text, where within the budget."""
+        rows = [np.zeros((0, 3), np.int64)]
+        for part in np.array_split(regions, max(1, len(regions) // 512)):
+            pairs = []
+            for k, (_, item, low, high, first, last) in enumerate(part.tolist()):
+                w = self.windows[item]
+                # passages whose place meets the hits; the others have a region of their own
+                met = w[(w[:, 0] + high >= first - self.longest[item]) & (w[:, 0] + low < last)]
+                pairs.append(np.column_stack([np.full(len(met), k), met + self.offset[item], met[:, 0] + low]))
+            if not pairs:
+                continue
+            of, begin, end, at = np.concatenate(pairs).T
+            d = banded_distance(self.flat, begin, end, code, at, part[of, 3] - part[of, 2] + 1, self.edits)
+            ok = d <= self.edits
+            rows.append(np.column_stack([part[of[ok], 0], part[of[ok], 1], d[ok]]))
+        return np.concatenate(rows)
+
+
+class _ClassIndex:
+    """The q-grams of the items of one class, with the class's q."""
+
+    def __init__(self, index: ItemIndex, q: int, members: np.ndarray):
+        self.q, self.edits = q, index.edits
+        self.bound = np.maximum(index.shortest + 1 - q * (index.edits + 1), 1)
+        self.longest = index.longest
+        hashes = [qgram_hashes(index.texts[i], q) for i in members]
+        sizes = [len(h) for h in hashes]
+        h = np.concatenate(hashes)
         order = np.argsort(h, kind="stable")
-        self.item_of = (np.concatenate(item_of) if hashes else np.zeros(0, np.int64))[order]
-        self.place = (np.concatenate(place) if hashes else np.zeros(0, np.int64))[order]
+        self.item_of = np.repeat(members, sizes)[order]
+        self.place = np.concatenate([np.arange(n) for n in sizes])[order]
         self.hashes, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
         self.filter = np.zeros(1 << _BITS, bool)
         self.filter[self.hashes >> np.uint64(64 - _BITS)] = True
+        self.least = int(self.bound[members].min())
 
     def regions(self, code: np.ndarray, text_of: np.ndarray) -> np.ndarray:
-        """Rows (text, item, first place, last place) of the bands that meet the bound."""
-        none = np.zeros((0, 4), np.int64)
+        none = np.zeros((0, 6), np.int64)
         h = qgram_hashes(code, self.q)
-        if not len(h) or not len(self.hashes):
-            return none
         at = np.flatnonzero(self.filter[h >> np.uint64(64 - _BITS)])
         k = np.searchsorted(self.hashes, h[at])
         k[k == len(self.hashes)] = 0
         real = self.hashes[k] == h[at]
         at, k = at[real], k[real]
-        # the hits of a passage lie in e + 1 runs at most, so one run has its share
-        least = max(1, -(-int(self.bound.min()) // (self.edits + 1)))
-        run = np.cumsum(np.concatenate([[1], np.diff(at) != 1])) if len(at) else at
-        long = np.bincount(run, minlength=1)[run] >= least if len(at) else np.zeros(0, bool)
-        if self.edits == 0:
-            at, k = at[long], k[long]
-        elif not long.any():
+        if not len(at):
             return none
+        # a text has to hold the bound's number of hits, and the hits of a passage lie in e + 1 runs at most
+        run = np.cumsum(np.concatenate([[0], np.diff(at) != 1]))
+        long = np.bincount(run)[run] >= -(-self.least // (self.edits + 1))
+        texts = text_of[at]
+        some = np.zeros(int(texts.max()) + 1, bool)
+        some[texts[long]] = True
+        some &= np.bincount(texts, minlength=len(some)) >= self.least
+        kept = some[texts]
+        at, k = at[kept], k[kept]
         if not len(at):
             return none
         n = self.count[k]
@@ -163,150 +199,141 @@ class ItemIndex:
         inner = np.arange(len(where)) - np.repeat(np.cumsum(n) - n, n)
         entry = np.repeat(self.first[k], n) + inner
         item, diagonal = self.item_of[entry], where - self.place[entry]
-        # overlapping bands of 2 w diagonals: each hit counts in the two that hold its diagonal
-        w = 2 * self.edits + 1 if self.edits else 1
-        bands = [diagonal // w] if not self.edits else [diagonal // w, diagonal // w - 1]
-        found = []
-        for band in bands if not self.edits else [np.concatenate(bands)]:
-            it = item if len(band) == len(item) else np.tile(item, 2)
-            wh = where if len(band) == len(where) else np.tile(where, 2)
-            text = text_of[wh]
-            order = np.lexsort((wh, band, it, text))
-            text, it, band, wh = text[order], it[order], band[order], wh[order]
-            # at least `bound` hits within the longest passage
-            bound = np.maximum(self.bound[it], 1)
-            end = np.arange(len(wh)) + bound - 1
-            inside = end < len(wh)
-            e = np.minimum(end, len(wh) - 1)
-            ok = inside & (text[e] == text) & (it[e] == it) & (band[e] == band) & (wh[e] - wh <= self.longest[it] + self.edits - self.q)
-            found.append(np.column_stack([text[ok], it[ok], wh[ok], wh[e[ok]] + self.q]))
-        rows = np.concatenate(found)
+        # bands of 2 w diagonals, one every w: any w + 1 neighbouring diagonals lie in one of them
+        w = max(self.edits, 1)
+        band = np.concatenate([diagonal // w, diagonal // w - 1])
+        item, where, text = np.tile(item, 2), np.tile(where, 2), np.tile(text_of[where], 2)
+        order = np.lexsort((where, band, item, text))
+        text, item, band, where = text[order], item[order], band[order], where[order]
+        # at least `bound` hits within the longest passage
+        last = np.arange(len(where)) + self.bound[item] - 1
+        e = np.minimum(last, len(where) - 1)
+        ok = (last < len(where)) & (text[e] == text) & (item[e] == item) & (band[e] == band) & (where[e] - where <= self.longest[item] + self.edits - self.q)
+        rows = np.column_stack([text[ok], item[ok], band[ok], where[ok], where[e[ok]] + self.q])
         if not len(rows):
             return none
-        # one row for overlapping regions of a text and an item
-        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
-        new = np.concatenate([[True], (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1]) | (rows[1:, 2] > rows[:-1, 3])])
-        group = np.cumsum(new) - 1
-        start, stop = np.full(group[-1] + 1, np.iinfo(np.int64).max), np.zeros(group[-1] + 1, np.int64)
-        np.minimum.at(start, group, rows[:, 2])
-        np.maximum.at(stop, group, rows[:, 3])
-        return np.column_stack([rows[new, 0], rows[new, 1], start, stop])
-
-    def verify(self, text: str, item: int) -> int | None:
-        """Least edits of one of the item's passages inside `text`, if within the budget."""
-        own, best = self.strings[item], None
-        for a, b in self.windows[item]:
-            passage = " " + own[a:b] + " "
-            if passage in text:
-                return 0
-            if self.edits:
-                bare = passage.strip()
-                # of e + 1 parts of the passage one stands unedited
-                cuts = [len(bare) * k // (self.edits + 1) for k in range(self.edits + 2)]
-                if not any(bare[x:y] in text for x, y in zip(cuts, cuts[1:])):
-                    continue
-                d = infix_distance(bare, text, self.edits)
-                if d is not None and (best is None or d < best):
-                    best = d
-        return best
-
-
-def infix_distance(pattern: str, text: str, most: int) -> int | None:
-    """Least edit distance of `pattern` to a part of `text`, if at most `most`; cells beyond the budget are cut off."""
-    m = len(pattern)
-    column = list(range(m + 1))
-    last = min(m, most)
-    best = most + 1
-    for c in text:
-        before, column[0] = 0, 0
-        top = min(m, last + 1)
-        for i in range(1, top + 1):
-            old = column[i] if i <= last else most + 1
-            value = min(before + (pattern[i - 1] != c), old + 1, column[i - 1] + 1)
-            before, column[i] = old, value
-        last = top
-        while last > 0 and column[last] > most:
-            last -= 1
-        if last == m:
-            best = min(best, column[m])
-    return best if best <= most else None
-
-
-def leaks(documents: DataFrame, items: list[tuple[int, str]], words: int = WORDS, edits: int = 0, q: int = 24) -> DataFrame:
+        # one row for overlapping regions of a text, an item and a band
+        same = (rows[1:, :3] == rows[:-1, :3]).all(1) & (rows[1:, 3] <= rows[:-1, 4])
+        first = np.flatnonzero(np.concatenate([[True], ~same]))
+        stop = np.maximum.reduceat(rows[:, 4], first)
+        one = rows[first]
+        return np.column_stack([one[:, 0], one[:, 1], one[:, 2] * w, (one[:, 2] + 2) * w - 1, one[:, 3], stop])
+
+
+def banded_distance(items: np.ndarray, begin: np.ndarray, end: np.ndarray, code: np.ndarray, at: np.ndarray, width: np.ndarray, most: int) -> np.ndarray:
+    """Least edits between each passage items[begin:end] and a part of `code`, in a band of diagonals.
+
+    A passage stands at `at` of `code` on the band's first diagonal; the band
+    has `width` diagonals and `most` more on each side. Distances beyond
+    `most` are most + 1. Cells outside the band count as beyond it.
+    """
+    if not len(begin):
+        return np.zeros(0, np.int64)
+    far = most + 1
+    order = np.argsort(begin - end, kind="stable")  # the longest first, so that those still open are the first rows
+    begin, size, at, width = begin[order], (end - begin)[order], at[order] - most, width[order] + 2 * most
+    wide = int(width.max())
+    diagonals = np.arange(wide)
+    cost = np.where(diagonals < width[:, None], 0, far).astype(np.int16)
+    closed = cost == far
+    bare = np.concatenate([code, [np.uint32(0x1E)]])
+    out = np.full(len(begin), far, np.int64)
+    n = len(begin)
+    for i in range(int(size[0])):
+        done = int(np.searchsorted(-size[:n], -i, "left"))  # rows with more than i characters
+        out[done:n] = cost[done:n].min(1)
+        n = done
+        own, place = items[begin[:n] + i], at[:n, None] + i + diagonals
+        read = bare[np.where((place >= 0) & (place < len(code)), place, len(code))]
+        c = cost[:n]
+        new = c + (read != own[:, None])
+        new[:, :-1] = np.minimum(new[:, :-1], c[:, 1:] + 1)  # a character that the text lacks
+        for k in range(1, wide):  # characters that only the text has
+            np.minimum(new[:, k], new[:, k - 1] + 1, out=new[:, k])
+        new = np.minimum(new, far)
+        new[closed[:n]] = far
+        cost[:n] = new
+        if not (new < far).any():
+            break
+    else:
+        out[:n] = cost[:n].min(1)
+    result = np.empty_like(out)
+    result[order] = out
+    return result
+
+
+def leaks(documents: DataFrame, items: Iterable[tuple[int, str]], words: int = WORDS, edits: int = 0, q: int = QS[0]) -> DataFrame:
     """(doc_id, item_id, edits) where a document holds `words` consecutive words of an item.
 
     Items with fewer words must occur whole. Case, punctuation, marks and line
-    breaks don't matter. With edits > 0 a passage may differ by so many
-    characters. Null and blank texts and items hold nothing. One row for each
-    document row and item; the least number of edits is given.
+    breaks don't matter. A passage may differ by `edits` characters, the
+    blanks around it among them. Null and blank texts and items hold nothing.
+    One row for each document row and item; the least number of edits is given.
     """
     spark = documents.sparkSession
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for i, t in items:
-        if t is None:
-            continue
-        if size + len(t) > BLOCK_CHARACTERS and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((i, t))
-        size += len(t)
     out = None
-    for block in blocks:
+    for block in _blocks(items):
         # an index of BLOCK_CHARACTERS at most
         shared = spark.sparkContext.broadcast(ItemIndex(block, words, edits, q))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             index = shared.value
+            between = np.full(edits + 1, 0x1E, np.uint32)  # so many that no passage reaches over them
             for pdf in batches:
-                rows = []
+                found = [pd.DataFrame({"doc_id": [], "item_id": [], "edits": []})]
                 for part in _parts(pdf):
                     texts = [_padded(t) for t in part["text"]]
-                    code = np.concatenate([x for t in texts for x in (t, [np.uint32(0x1E)])])
-                    lengths = np.array([len(t) + 1 for t in texts])
-                    text_of = np.repeat(np.arange(len(texts)), lengths)
-                    begin = np.cumsum(lengths) - lengths
-                    ids = part["doc_id"].to_numpy()
-                    best: dict[tuple[int, int], int] = {}
-                    for text, item, a, b in index.regions(code, text_of):
-                        # room for the rest of the passage around the hits
-                        room = int(index.longest[item]) + edits + 1
-                        lo, hi = max(a - room, begin[text]), min(b + room, begin[text] + lengths[text] - 1)
-                        d = index.verify("".join(map(chr, code[lo:hi])), item)
-                        if d is not None:
-                            key = (int(text), int(item))
-                            best[key] = min(d, best.get(key, d))
-                    rows += [(ids[t], index.ids[i], d) for (t, i), d in best.items()]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "edits"])
-
-        found = documents.select("doc_id", "text").filter("text is not null").mapInPandas(run, "doc_id long, item_id long, edits int")
+                    code = np.concatenate([x for t in texts for x in (t, between)])
+                    text_of = np.repeat(np.arange(len(texts)), [len(t) + len(between) for t in texts])
+                    text, item, d = index.verified(code, index.regions(code, text_of)).T
+                    if len(text):
+                        least = pd.DataFrame({"text": text, "item": item, "edits": d}).groupby(["text", "item"], as_index=False)["edits"].min()
+                        found.append(pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[least["text"]], "item_id": np.array(index.ids)[least["item"]], "edits": least["edits"]}))
+                yield pd.concat(found, ignore_index=True)
+
+        found = documents.select("doc_id", "text").filter("text is not null and doc_id is not null").mapInPandas(run, "doc_id long, item_id long, edits int")
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _blocks(items: Iterable[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of BLOCK_CHARACTERS, read one at a time; one empty block where there are none."""
+    block: list[tuple[int, str]] = []
+    size, any_ = 0, False
+    for i, t in items:
+        if t is None:
+            continue
+        if block and size + len(t) > BLOCK_CHARACTERS:
+            yield block
+            block, size, any_ = [], 0, True
+        block.append((i, t))
+        size += len(t)
+    if block or not any_:
+        yield block
+
+
 def _parts(pdf: pd.DataFrame, most: int = 2_000_000) -> Iterator[pd.DataFrame]:
     size = pdf["text"].str.len().to_numpy().cumsum() // most
     for _, part in pdf.groupby(size, sort=False):
         yield part
 
 
-def held_out(spark: SparkSession, sf_dir: str) -> list[tuple[int, str]]:
-    """The evaluation items, a table whose size doesn't grow with the corpus."""
-    return [(r.item_id, r.text) for r in load(spark, sf_dir, "eval_items").filter("text is not null and item_id is not null").orderBy("item_id", "text").collect()]
+def held_out(spark: SparkSession, sf_dir: str) -> Iterator[tuple[int, str]]:
+    """The evaluation items, in order, a partition at a time."""
+    rows = load(spark, sf_dir, "eval_items").filter("text is not null and item_id is not null").select("item_id", "text").orderBy("item_id", "text")
+    return ((r.item_id, r.text) for r in rows.toLocalIterator())
 
 
-def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, item_id): twelve consecutive words of an item, or all of a shorter one, without an edit."""
-    return leaks(load(spark, sf_dir, "documents"), held_out(spark, sf_dir)).select("doc_id", "item_id").dropDuplicates()
-
-
-#: Edits of characters that p9_near allows in a passage, and its q.
-NEAR_EDITS = 1
-NEAR_Q = 13
+def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, edits): documents with a passage of an item in which at most EDITS characters are edited."""
+    found = leaks(load(spark, sf_dir, "documents"), held_out(spark, sf_dir), edits=EDITS)
+    return found.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
 
 
-def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, item_id, edits) with at most NEAR_EDITS edited characters in the passage."""
-    from pyspark.sql import functions as F
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id): twelve consecutive words of an item, or all of a shorter one.
 
-    return leaks(load(spark, sf_dir, "documents"), held_out(spark, sf_dir), edits=NEAR_EDITS, q=NEAR_Q).groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
+    Of the passages that the search finds within its edit budget those whose
+    alignment has no edit.
+    """
+    return p9_near(spark, sf_dir).filter("edits = 0").select("doc_id", "item_id")

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 
@@ -59,20 +60,59 @@ def test_edits(spark):
 
 
 @pytest.mark.parametrize("most", [0, 1, 2])
-def test_infix_distance(most):
+def test_distance_in_a_band(most):
+    """Against all alignments that stay in the band."""
     rng = random.Random(most)
     for _ in range(300):
         a = "".join(rng.choice("ab") for _ in range(rng.randint(1, 8)))
         t = "".join(rng.choice("ab") for _ in range(rng.randint(0, 14)))
-        row = list(range(len(a) + 1))
-        best = row[-1]
-        for ch in t:
-            new = [0]
-            for i in range(1, len(a) + 1):
-                new.append(min(row[i - 1] + (a[i - 1] != ch), row[i] + 1, new[-1] + 1))
-            row = new
-            best = min(best, row[-1])
-        assert c.infix_distance(a, t, most) == (best if best <= most and t else None) or (not t and len(a) <= most)
+        at, width = rng.randint(-2, 8), rng.randint(1, 4)
+        low, high = at - most, at + width - 1 + most
+        far = 99
+        d = {(0, k): 0 for k in range(low, high + 1)}
+        for i in range(1, len(a) + 1):
+            for k in range(low, high + 1):
+                j = i - 1 + k
+                same = 0 <= j < len(t) and t[j] == a[i - 1]
+                d[i, k] = min(d[i - 1, k] + (not same), d.get((i - 1, k + 1), far) + 1, d.get((i, k - 1), far) + 1)
+        best = min(d[len(a), k] for k in range(low, high + 1))
+        code = lambda x: np.array([ord(c) for c in x], np.uint32)
+        got = c.banded_distance(code("xy" + a), np.array([2]), np.array([2 + len(a)]), code(t), np.array([at]), np.array([width]), most)[0]
+        assert got == min(best, most + 1)
+
+
+def test_edited_passages_are_found(spark):
+    """Recall of passages with one edited character, which the lemma says is whole."""
+    rng = random.Random(11)
+    _, items = made()
+    docs = []
+    for d in range(300):
+        i, text = rng.choice(items)
+        words = re.findall(r"[^\W_]+", text.lower())
+        size = min(12, len(words))
+        start = rng.randrange(len(words) - size + 1)
+        passage = " ".join(words[start : start + size])
+        k = rng.randrange(len(passage))
+        edited = rng.choice([passage[:k] + "q" + passage[k + 1 :], passage[:k] + passage[k + 1 :], passage[:k] + "q" + passage[k:]])
+        docs.append((d, i, f"Lorem ipsum {edited} dolor."))
+    got = run(spark, [(d, t) for d, _, t in docs], items, edits=1)
+    assert {(d, i) for d, i, _ in docs} <= got
+
+
+def test_a_short_item_leaves_the_others_their_filter():
+    _, items = made()
+    index = c.ItemIndex([*items, (500, "ab")])
+    assert sorted(x.q for x in index.classes)[-1] >= 8 and len(index.classes) <= 4
+    alone = c.ItemIndex(items)
+    text = c._padded("ab " * 5 + "the word ab stands in many texts " * 40)
+    of = np.zeros(len(text), np.int64)
+    assert {index.ids[i] for i in index.regions(text, of)[:, 1]} <= {500} and not len(alone.regions(text, of))
+
+
+def test_no_passage_over_two_documents(spark):
+    item = [(1, "the amber lantern keeps its silent watch over every sleeping harbour town tonight")]
+    first, second = item[0][1].split(" over ")
+    assert run(spark, [(1, first + " over"), (2, second)], item, edits=1) == set()
 
 
 def test_hashes_are_of_q_characters():
