@@ -28,8 +28,9 @@ from loomspan.tables import load
 WORDS = 12
 #: Edited characters that the search allows in a passage; p9_found keeps the passages without one.
 EDITS = 1
-#: The q of a class of items: the greatest that leaves half of a passage's q-grams after the edits.
-QS = (16, 12, 8, 5, 3, 2, 1)
+#: The q of a class of items is the greatest of these that leaves LEFT q-grams of each passage after the edits.
+QS = (32, 24, 16, 8, 4, 2, 1)
+LEFT = 4
 #: Characters of item text in one index; more items are taken in several scans.
 BLOCK_CHARACTERS = 8_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -121,7 +122,7 @@ class ItemIndex:
             # a passage with the blanks around it
             spans = np.column_stack([blanks[: n - size + 1], blanks[size:] + 1])
             shortest = int((spans[:, 1] - spans[:, 0]).min())
-            own = next((x for x in QS if x <= q and x * 2 * (edits + 1) <= shortest), 1)
+            own = next((x for x in QS if x <= q and shortest + 1 - x * (edits + 1) >= LEFT), 1)
             classes.setdefault(own, []).append(len(self.ids))
             self.ids.append(item)
             self.texts.append(f)
@@ -238,25 +239,23 @@ def banded_distance(items: np.ndarray, begin: np.ndarray, end: np.ndarray, code:
     closed = cost == far
     bare = np.concatenate([code, [np.uint32(0x1E)]])
     out = np.full(len(begin), far, np.int64)
-    n = len(begin)
-    for i in range(int(size[0])):
-        done = int(np.searchsorted(-size[:n], -i, "left"))  # rows with more than i characters
-        out[done:n] = cost[done:n].min(1)
-        n = done
-        own, place = items[begin[:n] + i], at[:n, None] + i + diagonals
+    row = np.arange(len(begin))
+    i = 0
+    while len(row):
+        n = int(np.searchsorted(-size, -i, "left"))  # rows with more than i characters
+        out[row[n:]] = cost[n:].min(1)
+        # rows that end here go, and now and then those beyond the budget
+        live = np.flatnonzero((cost[:n] < far).any(1)) if i % 4 == 0 else slice(0, n)
+        row, begin, size, at, cost, closed = row[live], begin[live], size[live], at[live], cost[live], closed[live]
+        place = at[:, None] + i + diagonals
         read = bare[np.where((place >= 0) & (place < len(code)), place, len(code))]
-        c = cost[:n]
-        new = c + (read != own[:, None])
-        new[:, :-1] = np.minimum(new[:, :-1], c[:, 1:] + 1)  # a character that the text lacks
+        new = cost + (read != items[np.minimum(begin + i, len(items) - 1), None])
+        new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + 1)  # a character that the text lacks
         for k in range(1, wide):  # characters that only the text has
             np.minimum(new[:, k], new[:, k - 1] + 1, out=new[:, k])
-        new = np.minimum(new, far)
-        new[closed[:n]] = far
-        cost[:n] = new
-        if not (new < far).any():
-            break
-    else:
-        out[:n] = cost[:n].min(1)
+        new[closed] = far
+        cost = np.minimum(new, far)
+        i += 1
     result = np.empty_like(out)
     result[order] = out
     return result
