@@ -128,27 +128,40 @@ class Segment:
         return [(i, o, end, c) for i in range(len(self.first)) for o in (0, 1, 2) for end, c in self.forward({(None, o, -1): 0}, i if free else None)[0].items()]
 
 
-def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rows of each source, whole, without repeated rows; at most a range's rows are held."""
+def _sources(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows of whole sources, and where each source begins; at most a range's rows are held."""
     held: list[pd.DataFrame] = []
     for pdf in batches:
         if not len(pdf):
             continue
         source = pdf["source"].to_numpy()
         cuts = np.flatnonzero(source[1:] != source[:-1]) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(pdf)]):
-            if held and held[0]["source"].iat[0] != source[a]:
-                yield pd.concat(held, ignore_index=True)
-                held = []
-            held.append(pdf.iloc[a:b])
+        if held and held[0]["source"].iat[-1] != source[0]:
+            cuts = np.concatenate([[0], cuts])
+        if len(cuts):
+            whole = pd.concat([*held, pdf.iloc[: cuts[-1]]], ignore_index=True)
+            yield whole, _begins(whole)
+            held = []
+            pdf = pdf.iloc[cuts[-1] :]
+        held.append(pdf)
     if held:
-        yield pd.concat(held, ignore_index=True)
+        whole = pd.concat(held, ignore_index=True)
+        yield whole, _begins(whole)
 
 
-def _segment(pdf: pd.DataFrame) -> Segment:
-    choices = np.flatnonzero(pdf["many"].notna().to_numpy())
-    readings = [[(int(r["us"]), int(r["order"]), int(r["prior"] * UNIT)) for r in row] for row in pdf["many"].to_numpy()[choices]]
-    return Segment(pdf["us"].to_numpy(np.int64), pdf["order"].to_numpy(np.int64), choices.tolist(), readings)
+def _begins(pdf: pd.DataFrame) -> np.ndarray:
+    source = pdf["source"].to_numpy()
+    return np.concatenate([[0], np.flatnonzero(source[1:] != source[:-1]) + 1]) if len(source) else np.zeros(0, np.int64)
+
+
+def _segment(us: np.ndarray, order: np.ndarray, many: np.ndarray, choices: np.ndarray) -> Segment:
+    readings = [[(int(r["us"]), int(r["order"]), int(r["prior"] * UNIT)) for r in row] for row in many[choices]]
+    return Segment(us, order, choices.tolist(), readings)
+
+
+def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    many = pdf["many"]
+    return pdf["us"].to_numpy(np.int64), pdf["order"].to_numpy(np.int64), many.to_numpy(), many.notna().to_numpy()
 
 
 def resolve(df: DataFrame, rows: int | None = None, readings: Column | None = None) -> DataFrame:
@@ -193,18 +206,21 @@ def resolve(df: DataFrame, rows: int | None = None, readings: Column | None = No
 
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # only the sources at a range's two ends can go on in another; the last one seen may be that at its end
-        kept: list[tuple[int, str, bytes]] = []
-        last = None
-        for pdf in _segments(batches):
-            if last is None:
-                s = _segment(pdf)
-                kept.append((int(pdf["pid"].iat[0]), pdf["source"].iat[0], pickle.dumps((s.first, s.transfer()))))
-                last = ()
+        first = last = None
+        for pdf, begins in _sources(batches):
+            if not len(begins):
+                continue
+            if first is None:
+                first = pdf.iloc[: begins[1]] if len(begins) > 1 else pdf
+                last = pdf.iloc[begins[-1] :] if len(begins) > 1 else None
             else:
-                last = pdf
-        if last is not None and len(last):
-            s = _segment(last)
-            kept.append((int(last["pid"].iat[0]), last["source"].iat[0], pickle.dumps((s.first, s.transfer()))))
+                last = pdf.iloc[begins[-1] :]
+        kept = []
+        for pdf in (first, last):
+            if pdf is not None:
+                us, order, many, open_ = _arrays(pdf)
+                s = _segment(us, order, many, np.flatnonzero(open_))
+                kept.append((int(pdf["pid"].iat[0]), pdf["source"].iat[0], pickle.dumps((s.first, s.transfer()))))
         yield pd.DataFrame(kept, columns=["pid", "source", "summary"])
 
     summaries = [(r.source, r.pid, *pickle.loads(bytes(r.summary))) for r in ranged.select("source", "pid", "us", "order", "many").mapInPandas(edges, "pid int, source string, summary binary").collect()]
@@ -212,25 +228,25 @@ def resolve(df: DataFrame, rows: int | None = None, readings: Column | None = No
     taken = ["spelling", "us", "prior"]
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        done, n = [], 0
-        for pdf in _segments(batches):
-            pid, source = int(pdf["pid"].iat[0]), pdf["source"].iat[0]
-            at = np.flatnonzero(pdf["many"].notna().to_numpy())
+        for pdf, begins in _sources(batches):
+            us, order, many, open_ = _arrays(pdf)
+            at = np.flatnonzero(open_)
             out = pdf[[*keys, *taken]]
             if len(at):
-                choice = _segment(pdf).chosen(*shared.value.get((pid, source), (None, None)))
-                own = [r[i] for r, i in zip(pdf["many"].to_numpy()[at], choice)]
+                own: list = []
+                ends = np.append(begins[1:], len(pdf))
+                source_of = np.searchsorted(begins, at, "right") - 1
+                for k in np.unique(source_of):
+                    x, y = begins[k], ends[k]
+                    choices = at[np.searchsorted(at, x) : np.searchsorted(at, y)]
+                    ways = shared.value.get((int(pdf["pid"].iat[0]), pdf["source"].iat[x]), (None, None))
+                    chosen = _segment(us[x:y], order[x:y], many[x:y], choices - x).chosen(*ways)
+                    own += [r[i] for r, i in zip(many[choices], chosen)]
                 values = {c: out[c].to_numpy(copy=True) for c in taken}
                 for c in taken:
                     values[c][at] = [r[c] for r in own]
                 out = out.assign(**values)
-            done.append(out)
-            n += len(out)
-            if n > 20_000:
-                yield pd.concat(done, ignore_index=True)
-                done, n = [], 0
-        if done:
-            yield pd.concat(done, ignore_index=True)
+            yield out
 
     kinds = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", spelling string, us long, prior double"
