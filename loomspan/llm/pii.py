@@ -3,9 +3,9 @@
 E-mail addresses, phone numbers, identity numbers and street addresses are
 found by their form. Names are found by what the corpus itself shows: words
 that mostly follow listed given names are surnames, and words that mostly
-stand before surnames are given names that the list lacks. Numbers keep their
-format: their digits are permuted by a keyed Feistel network, so that equal
-values get equal stand-ins in every text.
+stand before surnames are given names that the list lacks. Numbers and dates are
+permuted within their format by a keyed Feistel network (`pseudonyms`), so that
+equal values get equal stand-ins in every text, whatever their spelling.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import secrets
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,11 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.llm import pseudonyms
 from loomspan.runtime import checkpointed
 from loomspan.tables import load
 
-#: Key of the pseudonyms; a deployment sets its own.
-KEY = b"loomspan"
+#: Setting that holds the key of the stand-ins; where it is unset, a key is drawn that nobody knows, for one application.
+KEY_SETTING = "spark.loomspan.pii.key"
+KEY = secrets.token_bytes(32)
 #: Least share of a word's occurrences in which it stands beside the other part of a name.
 NAME_SHARE = 0.2
 
@@ -34,7 +37,8 @@ NAME_SHARE = 0.2
 _AT = r"(?:@|＠|\s?[(\[{<]\s?(?:at|@|AT)\s?[)\]}>]\s?)"
 _DOT = r"(?:\.|\s?[(\[{<]\s?(?:dot|\.|DOT|punkt|punto|point)\s?[)\]}>]\s?)"
 _EMAIL = re.compile(rf"(?:mailto:)?(?<![\w.+-])[\w][\w.+'-]{{0,63}}{_AT}[\w-]{{1,63}}(?:{_DOT}[\w-]{{1,63}})*{_DOT}[A-Za-z]{{2,24}}(?![\w-])")
-_EMAIL_WORDS = re.compile(r"(?<![\w.+-])\w[\w.+-]{0,63} (?:at|AT) [\w-]{1,63}(?: (?:dot|DOT) [\w-]{1,63})* (?:dot|DOT) [A-Za-z]{2,24}(?![\w-])")
+_AT_HINT = re.compile(r"at\s?[)\]}>]", re.IGNORECASE)
+_EMAIL_WORDS = re.compile(r"(?<![\w.+-])(?:\w[\w+-]{0,63} (?:dot|DOT) )*\w[\w.+-]{0,63} (?:at|AT) [\w-]{1,63}(?: (?:dot|DOT) [\w-]{1,63})* (?:dot|DOT) [A-Za-z]{2,24}(?![\w-])")
 
 _PHONE = re.compile(
     r"(?<![\w+.,/-])(?<!\d )(?:"
@@ -112,13 +116,32 @@ def _digits(s: str) -> int:
     return sum(c.isdigit() for c in s)
 
 
-def form_spans(text: str) -> list[Span]:
-    """E-mail addresses, identity numbers, phone numbers and street addresses, without overlaps."""
-    out: list[Span] = []
+# Kinds that problem 3 doesn't name; found on demand, and only where the value is valid.
+_CARD = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])")
+_IBAN = re.compile(r"(?<![\w-])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![\w-])")
+_BIRTH = re.compile(
+    r"(?i:born(?: on)?|date of birth|DOB|geboren am|geb\.|Geburtsdatum|née? le|date de naissance|nacid[oa] el|fecha de nacimiento)[:\s]{1,3}(?P<value>\d{4}([-/.])\d{2}\2\d{2}|\d{2}([-/.])\d{2}\3\d{4})(?!\d)"
+)
+_MORE = {"payment_card": pseudonyms.payment_card, "iban": pseudonyms.iban, "birth_date": pseudonyms.date}
+
+
+def more_spans(text: str) -> list[Span]:
+    """Payment cards, bank accounts and dates of birth with right check digits."""
+    out = [Span(m.start(), m.end(), "payment_card") for m in _CARD.finditer(text) if pseudonyms.payment_card(m[0], KEY)]
+    out += [Span(m.start(), m.end(), "iban") for m in _IBAN.finditer(text) if pseudonyms.iban(m[0], KEY)]
+    return out + [Span(m.start("value"), m.end("value"), "birth_date") for m in _BIRTH.finditer(text) if pseudonyms.date(m["value"], KEY)]
+
+
+def form_spans(text: str, more: bool = False) -> list[Span]:
+    """E-mail addresses, identity numbers, phone numbers and street addresses, without overlaps.
+
+    more: payment cards, bank accounts and dates of birth as well.
+    """
+    out: list[Span] = more_spans(text) if more else []
     if "@" in text or "＠" in text:
         out += [Span(m.start(), m.end(), "email") for m in _EMAIL.finditer(text)]
     low = text.lower()
-    if "at)" in low or "at]" in low or "at}" in low or "at>" in low:
+    if _AT_HINT.search(text):
         out += [Span(m.start(), m.end(), "email") for m in _EMAIL.finditer(text)]
     if " dot " in low and " at " in low:
         out += [Span(m.start(), m.end(), "email") for m in _EMAIL_WORDS.finditer(text)]
@@ -135,7 +158,7 @@ def form_spans(text: str) -> list[Span]:
     return without_overlaps(out)
 
 
-_ORDER = {k: i for i, k in enumerate(("email", "id_number", "phone", "street_address", "person_name"))}
+_ORDER = {k: i for i, k in enumerate(("iban", "payment_card", "birth_date", "email", "id_number", "phone", "street_address", "person_name"))}
 
 
 def without_overlaps(spans: list[Span]) -> list[Span]:
@@ -196,22 +219,26 @@ def restored_digits(digits: str, key: bytes = KEY, rounds: int = 10) -> str:
     return a + b
 
 
-#: Check letters of the Spanish identity number, by the number modulo 23.
-_DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+_DNI_LETTERS = pseudonyms.DNI_LETTERS
+
+
+def _bare_email(value: str) -> str:
+    """One spelling of an address, disguised or not."""
+    plain = re.sub(r"^mailto:", "", value)
+    plain = re.sub(rf"{_AT}| at ", "@", plain, flags=re.IGNORECASE)
+    return re.sub(rf"{_DOT}| dot ", ".", plain, flags=re.IGNORECASE).casefold()
 
 
 def pseudonym(value: str, kind: str, key: bytes = KEY) -> str:
-    """A stand-in for a value: numbers in their own format, other kinds as a short keyed tag."""
-    if kind not in ("phone", "id_number"):
-        plain = re.sub(r"\s+", " ", value).strip().casefold()
-        return hmac.new(key, f"{kind}:{plain}".encode(), hashlib.sha256).hexdigest()[:8]
-    own = [c for c in value if c.isdigit()]
-    new = iter(permuted_digits("".join(str(int(c)) for c in own), key))
-    out = "".join(next(new) if c.isdigit() else c for c in value)
-    m = re.fullmatch(r"(\d{8})(-?)([A-Z])", value)
-    if m and _DNI_LETTERS[int(m[1]) % 23] == m[3]:  # a valid number stays valid
-        out = out[:8] + m[2] + _DNI_LETTERS[int(out[:8]) % 23]
-    return out
+    """A stand-in for a value: numbers and dates in their own format, other kinds as a short keyed tag."""
+    if kind == "phone":
+        return pseudonyms.phone_number(value, key)
+    if kind == "id_number":
+        return pseudonyms.identity_number(value, key)
+    if kind in _MORE:
+        return _MORE[kind](value, key) or ""
+    plain = _bare_email(value) if kind == "email" else re.sub(r"\s+", " ", value).strip().casefold()
+    return hmac.new(key, f"{kind}:{plain}".encode(), hashlib.sha256).hexdigest()[:8]
 
 
 def redacted(text: str, spans: list[Span], key: bytes = KEY) -> str:
@@ -291,13 +318,26 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.filter("pii_type <> 'person_name'").select(*columns).unionByName(names.select(*columns)).dropDuplicates()
 
 
-def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(record_table, record_id, content): every text with placeholders; null contents stay null."""
+def key_of(spark: SparkSession) -> bytes:
+    """The session's key of the stand-ins."""
+    own = spark.conf.get(KEY_SETTING, None)
+    return own.encode() if own else KEY
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str, key: bytes | None = None, more: bool = False) -> DataFrame:
+    """(record_table, record_id, content): every text with placeholders; null contents stay null.
+
+    key: of the stand-ins, the session's by default. more: see form_spans.
+    Texts are shuffled once, by their record, to meet its names and to leave
+    repeated rows out.
+    """
+    key = key or key_of(spark)
     texts = record_texts(spark, sf_dir)
     scanned = checkpointed(scan(texts))
     names = _confirmed(scanned, load(spark, sf_dir, "given_names"))
     own = names.groupBy("record_table", "record_id").agg(F.collect_set(F.struct("given", "surname")).alias("names"))  # names of one record
-    joined = texts.dropDuplicates().join(own, ["record_table", "record_id"], "left")
+    # repeated rows go once they lie with their record's names, so texts aren't shuffled for them
+    joined = texts.join(own, ["record_table", "record_id"], "left").dropDuplicates(["record_table", "record_id", "content"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -306,11 +346,11 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
                 if text is None:
                     out.append(None)
                     continue
-                spans = form_spans(text)
+                spans = form_spans(text, more)
                 if known is not None:
                     pairs = {(n["given"], n["surname"]) for n in known}
                     spans = without_overlaps(spans + [Span(a, b, "person_name") for g, s, _, a, b in name_pairs(text) if (g, s) in pairs])
-                out.append(redacted(text, spans))
+                out.append(redacted(text, spans, key))
             yield pd.DataFrame({"record_table": pdf["record_table"], "record_id": pdf["record_id"], "content": out})
 
     return joined.mapInPandas(run, "record_table string, record_id string, content string")
