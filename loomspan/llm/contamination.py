@@ -336,3 +336,19 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     alignment has no edit.
     """
     return p9_near(spark, sf_dir).filter("edits = 0").select("doc_id", "item_id")
+
+
+# Every run of so many words of every document against those of the items; d.words and i.words without marks.
+P9_FOUND_SQL = r"""
+WITH i AS (SELECT item_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS words FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL),
+passages AS (
+  SELECT DISTINCT item_id, least(12, len(words)) AS n, array_to_string(list_slice(words, pos, pos + least(12, len(words)) - 1), ' ') AS passage
+  FROM (SELECT item_id, words, unnest(range(1, len(words) - least(12, len(words)) + 2)) AS pos FROM i WHERE len(words) > 0)
+), d AS (
+  SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS words FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), runs AS (
+  SELECT DISTINCT doc_id, n, array_to_string(list_slice(words, pos, pos + n - 1), ' ') AS passage
+  FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS pos FROM d, (SELECT DISTINCT n FROM passages) WHERE len(words) >= n)
+)
+SELECT DISTINCT doc_id, item_id FROM runs JOIN passages USING (n, passage)
+"""

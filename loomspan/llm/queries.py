@@ -19,4 +19,10 @@ QUERIES = {
     "p10_kinds": quality.p10_kinds,
     "p10_stats": quality.p10_stats,
 }
-ORACLES = {"p1_found": chunking.P1_FOUND_SQL, "p4_found": conversations.P4_FOUND_SQL, "p10_stats": quality.P10_STATS_SQL}
+ORACLES = {
+    "p1_found": chunking.P1_FOUND_SQL,
+    "p4_found": conversations.P4_FOUND_SQL,
+    "p6_found": neardup.P6_FOUND_SQL,
+    "p9_found": contamination.P9_FOUND_SQL,
+    "p10_stats": quality.P10_STATS_SQL,
+}
