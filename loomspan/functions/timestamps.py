@@ -36,11 +36,11 @@ _ZONE = r"(?: ?(z|[a-z]{2,5}|[+-]\d{2}(?::?\d{2})?)(?:\[[a-z_/+-]+\])?| ?\[?([a-
 _SPELLINGS = {
     "iso": (rf"(?i)^(\d{{4}})([-/])(\d{{2}})\2(\d{{2}})(?:[t ]{_CLOCK}{_ZONE})?$", "$1|$3|$4|$5|$6|$7||$8$9"),
     "compact": (rf"(?i)^(\d{{4}})(\d{{2}})(\d{{2}})(?:t?(\d{{2}})(\d{{2}})(\d{{2}})(?:[.,]\d+)?{_ZONE})?$", "$1|$2|$3|$4|$5|$6||$7$8"),
-    "day_month_name": (rf"(?i)^(?:[a-z]{{3,9}},? )?(\d{{1,2}})(?:st|nd|rd|th)?[ -]{_MONTH},?[ -](\d{{4}})(?:,? {_CLOCK}(?: ?([ap])\.?m\.?)?{_ZONE})?$", "$3|$2|$1|$4|$5|$6|$7|$8$9"),
-    "month_name_day": (rf"(?i)^(?:[a-z]{{3,9}},? )?{_MONTH} (\d{{1,2}})(?:st|nd|rd|th)?,? (\d{{4}})(?:,? {_CLOCK}(?: ?([ap])\.?m\.?)?{_ZONE})?$", "$3|$1|$2|$4|$5|$6|$7|$8$9"),
-    "dots": (rf"(?i)^(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}})(?:,? {_CLOCK}(?: ?([ap])\.?m\.?)?{_ZONE})?$", "$3|$2|$1|$4|$5|$6|$7|$8$9"),
+    "day_month_name": (rf"(?i)^(?:[a-z]{{3,9}},? )?(\d{{1,2}})(?:st|nd|rd|th)?[ -]{_MONTH},?[ -](\d{{4}})(?:,? {_CLOCK}(?: ?([ap])\.?m\b\.?)?{_ZONE})?$", "$3|$2|$1|$4|$5|$6|$7|$8$9"),
+    "month_name_day": (rf"(?i)^(?:[a-z]{{3,9}},? )?{_MONTH} (\d{{1,2}})(?:st|nd|rd|th)?,? (\d{{4}})(?:,? {_CLOCK}(?: ?([ap])\.?m\b\.?)?{_ZONE})?$", "$3|$1|$2|$4|$5|$6|$7|$8$9"),
+    "dots": (rf"(?i)^(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}})(?:,? {_CLOCK}(?: ?([ap])\.?m\b\.?)?{_ZONE})?$", "$3|$2|$1|$4|$5|$6|$7|$8$9"),
 }
-_SLASHES = rf"(?i)^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})(?:,? {_CLOCK}(?: ?([ap])\.?m\.?)?{_ZONE})?$"
+_SLASHES = rf"(?i)^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})(?:,? {_CLOCK}(?: ?([ap])\.?m\b\.?)?{_ZONE})?$"
 _SLASH_ORDERS = {"DMY": "$3|$2|$1|$4|$5|$6|$7|$8$9", "MDY": "$3|$1|$2|$4|$5|$6|$7|$8$9"}
 _EPOCH = r"^[+-]?\d{9,14}(?:\.\d+)?$"
 _START = "timestamp_ntz'1970-01-01 00:00:00'"
