@@ -1,11 +1,15 @@
 """Problem 2: references to records that do not exist.
 
 Referred keys are coded as integers, in ranges of their order. For each key
-range (32,768 codes) and month a bitmap holds the keys referred to; for each
-key range and month of first filing another holds the keys there are. A
-reference bitmap AND-NOT the parents filed in earlier months leaves the keys
-to look at: those missing, deleted, or filed in the same month or later. Only
-their references are compared by exact time.
+range (32,768 codes) and month a compressed bitmap holds the keys referred to;
+for each key range and month of first filing another holds the keys there are.
+A range's bitmaps are read in order of time: a reference bitmap AND-NOT the
+parents filed in earlier months leaves the keys to look at: those missing,
+deleted, or filed in the same month or later. Only their references are
+compared by exact time.
+
+A bitmap is kept as the sorted places of its set bits while these are fewer
+than 2,048, and as 4,096 bytes beyond, whichever is shorter.
 """
 
 from __future__ import annotations
@@ -21,8 +25,9 @@ from loomspan.operators.intervals import entity_key
 from loomspan.runtime import checkpointed, partitions
 from loomspan.tables import load
 
-#: Bits of one of Spark's bitmaps.
+#: Bits of a bitmap, and set bits up to which their places are kept instead.
 BITS = 32_768
+SPARSE = 2_048
 #: Month of parents without a time; before every month.
 ALWAYS = -1_000_000
 
@@ -65,49 +70,90 @@ def orphans(refs: DataFrame, there: DataFrame, gone: DataFrame) -> DataFrame:
 
     `refs` as of fact_references, `there` as of parents, `gone` (domain, key).
     reason is deleted, missing or late. A reference without a time is never
-    late, nor is one to a record without a time. Repeated rows give one row.
+    late, nor is one to a key whose records all lack a time; of several times
+    of a key the earliest counts. Repeated rows give one row.
     A key of any share of the references is one bit a month: keys are combined
     before every shuffle but the last, an inner join that AQE splits on skew.
     """
     spark = refs.sparkSession
     used = refs.groupBy("domain", "key", "month").agg(F.lit(1).alias("one"))
     none = lambda kind: F.lit(None).cast(kind)
-    facts = (
-        used.select("domain", "key", F.lit(True).alias("used"), none("boolean").alias("there"), none("boolean").alias("timeless"), none("timestamp").alias("created_at"), none("boolean").alias("gone"))
-        .unionByName(there.select("domain", "key", none("boolean").alias("used"), F.lit(True).alias("there"), F.col("created_at").isNull().alias("timeless"), "created_at", none("boolean").alias("gone")))
-        .unionByName(gone.select("domain", "key", none("boolean").alias("used"), none("boolean").alias("there"), none("boolean").alias("timeless"), none("timestamp").alias("created_at"), F.lit(True).alias("gone")))
-    )
+    columns = {"used": "boolean", "there": "boolean", "created_at": "timestamp", "gone": "boolean"}
+    part = lambda df, **own: df.select("domain", "key", *[own.get(c, F.lit(None)).cast(t).alias(c) for c, t in columns.items()])
+    facts = part(used, used=F.lit(True)).unionByName(part(there, there=F.lit(True), created_at=F.col("created_at"))).unionByName(part(gone, gone=F.lit(True)))
     keys = facts.groupBy("domain", "key").agg(F.max("used").alias("used"), F.max("there").alias("there"), F.min("created_at").alias("created_at"), F.max("gone").alias("gone")).filter("used")
     ranged = keys.repartitionByRange(partitions(spark), "domain", "key").sortWithinPartitions("domain", "key")
     # written once: the codes must not change between the reads below
     dictionary = checkpointed(ranged.select("*", (F.monotonically_increasing_id() + 1).alias("code")))
 
-    code = F.col("code")
-    bits = F.bitmap_construct_agg(F.bitmap_bit_position(code)).alias("bits")
-    referred = used.join(dictionary.select("domain", "key", "code"), ["domain", "key"]).groupBy(F.bitmap_bucket_number(code).alias("bucket"), "month").agg(bits)
+    # parents come before the references of a month that is theirs or later
     since = F.coalesce(_month(F.col("created_at")) + 1, F.lit(ALWAYS))
-    filed = dictionary.filter("there").groupBy(F.bitmap_bucket_number(code).alias("bucket"), since.alias("since")).agg(bits)
-    by_range = filed.groupBy("bucket").agg(F.collect_list(F.struct("since", "bits")).alias("filed"))  # a bitmap a month
-
-    def survivors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            codes, months = [], []
-            for bucket, month, own, filed_ in zip(pdf["bucket"], pdf["month"], pdf["bits"], pdf["filed"]):
-                left = np.frombuffer(own, np.uint8)
-                for f in filed_ if filed_ is not None else []:
-                    if f["since"] <= month:
-                        left = left & ~np.frombuffer(f["bits"], np.uint8)
-                at = np.flatnonzero(np.unpackbits(left, bitorder="little"))
-                codes.append((bucket - 1) * BITS + at + 1)  # positions count from 1
-                months.append(np.full(len(at), month))
-            yield pd.DataFrame({"code": np.concatenate(codes) if codes else [], "month": np.concatenate(months) if months else []})
-
-    left = referred.join(by_range, "bucket", "left").mapInPandas(survivors, "code long, month int")
+    filed = dictionary.filter("there").select("code", since.alias("month"), F.lit(0).alias("kind"))
+    referred = used.join(dictionary.select("domain", "key", "code"), ["domain", "key"]).select("code", "month", F.lit(1).alias("kind"))
+    left = survivors(bitmaps(filed.unionByName(referred)))
     looked = left.join(dictionary, "code").select("domain", "key", "month", "there", "created_at", "gone")
     reason = F.when(F.col("there").isNull(), F.when(F.col("gone"), "deleted").otherwise("missing")).when(F.col("created_at") > F.col("extracted_at"), "late")
     return refs.join(looked, ["domain", "key", "month"]).select("triple_id", "ref_field", reason.alias("reason"), "month").filter("reason is not null").dropDuplicates()
 
 
+def packed(places: np.ndarray) -> bytes:
+    """A compressed bitmap of sorted distinct places."""
+    if len(places) < SPARSE:
+        return places.astype("<u2").tobytes()
+    bits = np.zeros(BITS, np.uint8)
+    bits[places] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def unpacked(bitmap: bytes) -> np.ndarray:
+    """A boolean for each bit."""
+    if len(bitmap) == BITS // 8:
+        return np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").astype(bool)
+    out = np.zeros(BITS, bool)
+    out[np.frombuffer(bitmap, "<u2")] = True
+    return out
+
+
+def bitmaps(codes: DataFrame) -> DataFrame:
+    """(bucket, month, kind, bits) of the rows (code, month, kind): a bitmap for each key range, month and kind of a batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            code = pdf["code"].to_numpy(np.int64)
+            rows = np.unique(np.column_stack([code // BITS, pdf["month"], pdf["kind"], code % BITS]), axis=0)
+            first = np.flatnonzero(np.concatenate([[True], (rows[1:, :3] != rows[:-1, :3]).any(1)])) if len(rows) else np.zeros(0, np.int64)
+            bits = [packed(p) for p in np.split(rows[:, 3], first[1:])] if len(rows) else []
+            yield pd.DataFrame({"bucket": rows[first, 0], "month": rows[first, 1], "kind": rows[first, 2], "bits": bits})
+
+    return codes.mapInPandas(run, "bucket long, month int, kind int, bits binary")
+
+
+def survivors(maps: DataFrame) -> DataFrame:
+    """(code, month): the codes referred to in a month whose parents aren't among those of earlier months.
+
+    A range's bitmaps are read once, in order of time, beside the union of the parents so far.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket, parents = None, np.zeros(BITS, bool)
+        for pdf in batches:
+            codes, months = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for b, month, kind, bits in zip(pdf["bucket"].tolist(), pdf["month"].tolist(), pdf["kind"].tolist(), pdf["bits"]):
+                if b != bucket:
+                    bucket, parents = b, np.zeros(BITS, bool)
+                own = unpacked(bits)
+                if kind == 0:
+                    parents |= own
+                else:
+                    at = np.flatnonzero(own & ~parents)
+                    codes.append(b * BITS + at)
+                    months.append(np.full(len(at), month))
+            yield pd.DataFrame({"code": np.concatenate(codes), "month": np.concatenate(months)})
+
+    ordered = maps.repartition("bucket").sortWithinPartitions("bucket", "month", "kind")
+    return ordered.mapInPandas(run, "code long, month int").dropDuplicates()
+
+
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans(fact_references(spark, sf_dir), parents(spark, sf_dir), removed(spark, sf_dir))
 

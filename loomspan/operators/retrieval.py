@@ -139,27 +139,37 @@ def nearest_by_lists(records: DataFrame, queries: DataFrame, k: int, probes: int
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-#: Bits of a sign code and codes a record, for pairs nearer than a threshold.
-SIGN_BITS, SIGN_CODES = 8, 30
+#: Least and most bits of a sign code, rows that a code of one group holds in the mean, and the share of pairs at the threshold that share no code.
+SIGN_BITS = (8, 20)
+SIGN_ROWS, SIGN_MISS = 64, 0.002
+
+
+def sign_codes(rows: int, threshold: float) -> tuple[int, int]:
+    """(bits of a code, codes a record): more bits, the more rows the largest group has, and as many codes as the threshold then needs."""
+    bits = min(max(SIGN_BITS[0], int(np.ceil(np.log2(max(rows, 1) / SIGN_ROWS)))), SIGN_BITS[1])
+    same = (1 - np.arccos(max(-1.0, 1 - threshold)) / np.pi) ** bits
+    return bits, int(np.ceil(np.log(SIGN_MISS) / np.log1p(-same))) if same < 1 else 1
 
 
 def near_pairs(records: DataFrame, key: str, group: str, threshold: float, vector: str = "embedding") -> DataFrame:
     """(a, b, distance): records of one group nearer than `threshold`, a < b.
 
-    Candidates share one of SIGN_CODES codes of SIGN_BITS signs of random
-    projections; each is verified exactly. At a distance of 0.15 more than
-    99.8 % of the pairs share a code. Null groups are no group.
+    Candidates share one code of the signs of random projections; each is
+    verified exactly. Codes have more bits the larger the largest group is, so
+    that a code holds few rows of it, and there are so many that 99.8 % of the
+    pairs at the threshold share one. Null groups are no group.
     """
-    shared = records.sparkSession.sparkContext.broadcast(11)
+    own = records.filter(F.col(vector).isNotNull() & F.col(group).isNotNull()).select(key, group, F.col(vector).cast("array<double>").alias("v"))
+    largest = own.groupBy(group).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    bits, number = sign_codes(largest, threshold)
 
     @F.pandas_udf("array<long>")
     def codes(v: pd.Series) -> pd.Series:
         x = np.array(v.tolist())
-        plane = np.random.default_rng(shared.value).standard_normal((x.shape[1], SIGN_CODES * SIGN_BITS)) if len(x) else np.zeros((0, 0))
-        signs = (x @ plane > 0).reshape(len(x), SIGN_CODES, SIGN_BITS)
-        return pd.Series(list((signs @ (1 << np.arange(SIGN_BITS)) + (np.arange(SIGN_CODES) << SIGN_BITS)).astype(np.int64)))
+        plane = np.random.default_rng(11).standard_normal((x.shape[1], number * bits)) if len(x) else np.zeros((0, 0))
+        signs = (x @ plane > 0).reshape(len(x), number, bits)
+        return pd.Series(list((signs @ (1 << np.arange(bits)) + (np.arange(number) << bits)).astype(np.int64)))
 
-    own = records.filter(F.col(vector).isNotNull() & F.col(group).isNotNull()).select(key, group, F.col(vector).cast("array<double>").alias("v"))
     coded = own.select(key, group, F.explode(codes("v")).alias("code"))
     a, b = coded.select(F.col(key).alias("a"), group, "code"), coded.select(F.col(key).alias("b"), group, "code")
     pairs = a.join(b, [group, "code"]).filter("a < b").select("a", "b").dropDuplicates()
@@ -266,14 +276,17 @@ def hydrated(boosted_hits: DataFrame, records: DataFrame, queries: DataFrame, ke
     """
     asked = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("asked"))
     sources = boosted_hits.select("query_id", "source").distinct()
-    place = W.partitionBy("source").orderBy("chunk_index", "rec")
-    ordered = records.select(F.col("source_file").alias("source"), "chunk_index", F.col(key).alias("rec"), "text").withColumn("n", F.row_number().over(place))
-    in_reach = sources.join(ordered, "source").join(asked, "query_id")
+    # chunks of the boosted sources only, and no source is ever sorted: all steps are aggregates
+    place = F.struct("chunk_index", F.col(key).alias("rec"))
+    chunks = records.select(F.col("source_file").alias("source"), place.alias("place"), "text").join(sources.select("source").distinct(), "source", "left_semi")
+    in_reach = sources.join(chunks, "source").join(asked, "query_id")
     score = F.size(F.filter("asked", lambda t: F.lower(F.col("text")).contains(t)))
-    best = in_reach.groupBy("query_id", "source").agg(F.max_by("n", F.struct(score.alias("s"), (-F.col("n")).alias("n"))).alias("best"))
-    around = best.join(ordered, "source").filter(F.col("n").between(F.col("best") - 1, F.col("best") + 1))
-    text = F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda s: s["text"]), "\n\n"), 1, most)
-    wide = around.groupBy("query_id", "source").agg(text.alias("text"))
+    best = in_reach.groupBy("query_id", "source").agg(F.min(F.struct((-score).alias("s"), "place"))["place"].alias("best"))
+    own = F.struct("place", "text")
+    around = best.join(chunks, "source").groupBy("query_id", "source").agg(
+        F.max(F.when(F.col("place") < F.col("best"), own)).alias("a"), F.min(F.when(F.col("place") == F.col("best"), own)).alias("b"), F.min(F.when(F.col("place") > F.col("best"), own)).alias("c")
+    )
+    wide = around.select("query_id", "source", F.substring(F.array_join(F.array("a.text", "b.text", "c.text"), "\n\n"), 1, most).alias("text"))
     return boosted_hits.select("query_id", key, "source").join(wide, ["query_id", "source"]).select("query_id", key, "text")
 
 

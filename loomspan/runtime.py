@@ -28,13 +28,17 @@ def ship(spark: SparkSession) -> None:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 
-    The folder is the cluster's (spark.checkpoint.dir); only where that is
-    unset, as in local tests, a temporary folder of this machine is taken.
+    The folder is the cluster's (spark.checkpoint.dir). Where that is unset, a
+    local session takes a temporary folder; any other raises, as its executors
+    share no folder of one machine. Files go with their DataFrame where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loomspan-checkpoint-"))
     return df.checkpoint(eager=True)
 

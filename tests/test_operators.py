@@ -1,5 +1,6 @@
 """Record, graph, fact and retrieval operators on small inputs; streams against batches."""
 
+import math
 import random
 from datetime import datetime
 
@@ -276,3 +277,25 @@ def test_greedy_never_leaves_records_undecided(spark):
     assert {r.id for r in R.greedy_kept(*args).collect() if r.kept} == {"d0", "d2", "d4", "d6"}
     with pytest.raises(RuntimeError):
         R.greedy_kept(*args, most_rounds=2)
+
+
+def test_sign_codes_grow_with_the_rows():
+    from loomspan.operators import retrieval
+
+    small, large = retrieval.sign_codes(100, 0.15), retrieval.sign_codes(10**6, 0.15)
+    assert small[0] == 8 and large[0] > small[0] and large[1] > small[1]
+    for bits, n in (small, large):
+        same = (1 - math.acos(0.85) / math.pi) ** bits
+        assert 1 - (1 - same) ** n >= 0.998
+
+
+def test_hydration_sorts_no_source(spark):
+    from loomspan.operators import retrieval
+
+    rows = [(f"r{i}", "a" if i < 40 else f"s{i}", i, f"text {i} {'apple pear' if i == 7 else 'plum'}") for i in range(60)]
+    records = spark.createDataFrame(rows, "vec_id string, source_file string, chunk_index int, text string")
+    hits = spark.createDataFrame([("q", "r3", "a"), ("q", "r50", "s50")], "query_id string, vec_id string, source string")
+    queries = spark.createDataFrame([("q", "apple pear")], "query_id string, text string")
+    out = retrieval.hydrated(hits, records, queries, "vec_id")
+    assert {r.vec_id: r.text for r in out.collect()} == {"r3": "text 6 plum\n\ntext 7 apple pear\n\ntext 8 plum", "r50": "text 50 plum"}
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()

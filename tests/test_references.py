@@ -42,3 +42,15 @@ def test_many_keys_cross_bitmaps(spark):
     there = spark.range(n).filter("id % 7 <> 3").selectExpr("'entities' domain", "concat('k', id) key", "timestamp'2024-01-01' created_at")
     gone = spark.createDataFrame([], "domain string, key string")
     assert rf.orphans(rows, there, gone).count() == len([i for i in range(n) if i % 7 == 3])
+
+
+def test_compressed_bitmaps():
+    import numpy as np
+
+    from loomspan.operators import references as r
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2047, 2048, 20_000):
+        places = np.sort(rng.choice(r.BITS, n, replace=False))
+        packed = r.packed(places)
+        assert len(packed) == (2 * n if n < r.SPARSE else r.BITS // 8) and (np.flatnonzero(r.unpacked(packed)) == places).all()
