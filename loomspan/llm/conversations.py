@@ -5,7 +5,9 @@ version (by time, rows without a time first; an edit to blank text deletes the
 turn but keeps its place). Conversations of up to MOST_ROWS rows are gathered
 whole and ordered in one step. Longer ones are never gathered: their places
 come from pointer doubling over the parents, and turns are numbered and checked
-in blocks of places whose summaries are joined per conversation.
+in blocks, ranges of the rows in order of (conversation, place, time, id), whose
+summaries are joined per conversation. A conversation of any share of the rows,
+or one first row with any number of replies, lies in many such ranges.
 """
 
 from __future__ import annotations
@@ -18,13 +20,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspan.runtime import checkpointed
+from loomspan.runtime import checkpointed, partitions
 from loomspan.tables import load
 
 #: Rows up to which a conversation is ordered by one task.
 MOST_ROWS = 10_000
-#: Places of a block in longer conversations.
-BLOCK = 4_096
+#: Rows of a block of longer conversations, about.
+BLOCK = 200_000
 
 # Spellings of the two speaking roles.
 ROLES = {"user": "user", "human": "user", "assistant": "assistant", "ai": "assistant"}
@@ -141,26 +143,26 @@ def _placed_by_parent(messages: DataFrame) -> DataFrame:
     health = checked.groupBy("conversation_id").agg(F.sum(lost).alias("lost"), F.sum(F.col("parent").isNull().cast("int")).alias("first_rows"))
     whole = health.filter("lost = 0 and first_rows = 1").join(circular, "conversation_id", "left_anti").select("conversation_id")
     placed = messages.join(here.select("conversation_id", "message_id", "depth"), ["conversation_id", "message_id"]).join(whole, "conversation_id", "left_semi")
-    # dense places: rows of one depth are few, depths of a conversation are numbered in blocks
-    level = W.partitionBy("conversation_id", "depth").orderBy(F.col("at").isNull(), "at", "message_id")
-    ranked = placed.withColumn("rank", F.row_number().over(level))
-    return ranked.select("conversation_id", "message_id", "role", F.col("depth").alias("block_of"), "rank")
+    return placed.select("conversation_id", "message_id", "role", F.col("depth").alias("place"), "at")
 
 
 def _placed_by_position(messages: DataFrame) -> DataFrame:
     count = messages.groupBy("conversation_id", "position").agg(F.count("*").alias("n"))
     whole = count.groupBy("conversation_id").agg(F.min("position").alias("a"), F.max("position").alias("b"), F.count("*").alias("places"), F.max("n").alias("most"), F.sum(F.col("position").isNull().cast("int")).alias("none"))
     sound = whole.filter("a = 0 and b = places - 1 and most = 1 and none = 0").select("conversation_id")
-    return messages.join(sound, "conversation_id", "left_semi").select("conversation_id", "message_id", "role", F.col("position").cast("long").alias("block_of"), F.lit(1).alias("rank"))
+    return messages.join(sound, "conversation_id", "left_semi").select("conversation_id", "message_id", "role", F.col("position").cast("long").alias("place"), "at")
 
 
 def _long(events: DataFrame, linked: bool) -> DataFrame:
     """The same turns for conversations of any length, without gathering one."""
     messages = checkpointed(_folded(events))
     placed = _placed_by_parent(messages) if linked else _placed_by_position(messages)
-    spoken = placed.filter("role is not null").withColumn("block", F.floor(F.col("block_of") / BLOCK))
-    inside = W.partitionBy("conversation_id", "block").orderBy("block_of", "rank")
-    rows = spoken.withColumn("n", F.row_number().over(inside)).withColumn("before", F.lag("role").over(inside))
+    order = ["conversation_id", "place", F.col("at").isNull(), "at", "message_id"]
+    ranges = max(partitions(events.sparkSession), -(-messages.count() // BLOCK))
+    # written once, so that a row's range doesn't change between the reads below
+    ranged = checkpointed(placed.filter("role is not null").repartitionByRange(ranges, *order).withColumn("block", F.spark_partition_id()))
+    inside = W.partitionBy("conversation_id", "block").orderBy(*order[1:])
+    rows = ranged.withColumn("n", F.row_number().over(inside)).withColumn("before", F.lag("role").over(inside))
     summary = rows.groupBy("conversation_id", "block").agg(F.count("*").alias("size"), F.max_by("role", "n").alias("final"))
     along = W.partitionBy("conversation_id").orderBy("block")
     earlier = summary.select("conversation_id", "block", F.coalesce(F.sum("size").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"), F.lag("final").over(along).alias("final"))
@@ -182,7 +184,7 @@ def rebuild(events: DataFrame, linked: bool, most_rows: int = MOST_ROWS) -> Data
     """
     own = events.filter("conversation_id is not null and message_id is not null").drop("text")
     sizes = own.groupBy("conversation_id").count().filter(F.col("count") > most_rows).select("conversation_id")
-    if not sizes.limit(1).collect():
+    if not sizes.limit(1).collect():  # the only way to know; one column, combined before the shuffle
         return _short(own, linked)
     return _short(own.join(sizes, "conversation_id", "left_anti"), linked).unionByName(_long(own.join(sizes, "conversation_id", "left_semi"), linked))
 

@@ -18,13 +18,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomspan.runtime import checkpointed
 from loomspan.tables import load
 
-#: Bound of the labelled sample that the mixture is fitted on: documents, and lines of them.
+#: Bound of the labelled sample that the mixture is fitted on: documents, and characters of them in sum.
 FIT_DOCUMENTS = 3_000
-FIT_LINES = 60_000
+FIT_CHARACTERS = 50_000_000
 COMPONENTS = 40
 #: Characters of prose that every document is taken to have besides its own, as a few words tell little.
 PRIOR = 20
@@ -251,14 +253,10 @@ def train(texts: list[str], labels: list[str]) -> Mixture:
     if not len(raw):
         one = np.zeros((1, len(FEATURES)))
         return Mixture(one[0], one[0] + 1, np.zeros(1), one, one + 1, np.zeros(1), ["prose"])
-    if len(raw) > FIT_LINES:
-        chosen = np.sort(np.random.default_rng(SEED).choice(len(raw), FIT_LINES, replace=False))
-    else:
-        chosen = np.arange(len(raw))
     names = np.array(labels)
     size = {k: max((names == k).sum(), 1) for k in set(labels)}
-    weight = np.array([1 / np.sqrt(size[k]) for k in labels])[text_of[chosen]]
-    fitted = fit_mixture(raw[chosen], weight * len(chosen) / weight.sum())
+    weight = np.array([1 / np.sqrt(size[k]) for k in labels])[text_of]
+    fitted = fit_mixture(raw, weight * len(raw) / weight.sum())
     mixture = Mixture(*fitted, np.zeros(len(fitted[2])), [])
     share = shares(mixture.responsibilities(raw), chars, text_of, len(texts))
     mixture.other = map_components(share, names != "prose")
@@ -269,14 +267,18 @@ def train(texts: list[str], labels: list[str]) -> Mixture:
     return mixture
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS) -> list[tuple[str, str]]:
-    """(text, label) of at most `most` labelled documents, chosen by a hash of their ids.
+def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS, characters: int = FIT_CHARACTERS) -> list[tuple[str, str]]:
+    """(text, label) of at most `most` labelled documents, chosen by a hash of their ids, whole, with `characters` in sum at most.
 
     At most `most` label rows are broadcast, so the documents aren't shuffled.
+    Of rows with one doc_id the least text counts.
     """
     chosen = labels.filter("label is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most).groupBy("doc_id").agg(F.min("label").alias("label"))
-    rows = documents.filter("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "label", "doc_id").collect()
-    return [(r.text, r.label) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
+    met = documents.filter("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = checkpointed(met.groupBy("doc_id", "label").agg(F.min("text").alias("text")))  # at most `most` rows
+    sized = rows.withColumn("sum", F.sum(F.char_length("text").cast("long")).over(W.orderBy(F.xxhash64("doc_id"), "doc_id")))
+    taken = sized.filter(F.col("sum") <= characters).select("text", "label", "doc_id").collect()
+    return [(r.text, r.label) for r in sorted(taken, key=lambda r: r.doc_id)]
 
 
 def classify(documents: DataFrame, mixture: Mixture) -> DataFrame:

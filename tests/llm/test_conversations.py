@@ -47,3 +47,12 @@ def test_long_conversation(spark):
 def test_empty_and_nulls(spark):
     assert both(spark, [], True) == [] and both(spark, [], False) == []
     assert cv.rebuild(spark.createDataFrame([(None, "a", None, 0, "user", 1, "x"), ("c", None, None, 0, "user", 1, "x")], SCHEMA), True).collect() == []
+
+
+def test_one_first_row_with_many_replies(spark, monkeypatch):
+    """A star is ordered in ranges, none of which holds it whole."""
+    monkeypatch.setattr(cv, "BLOCK", 50)
+    rows = [("star", "r", None, None, "user", 0, "x")] + [("star", f"m{i:04d}", "r", None, "assistant", i % 97, "x") for i in range(400)]
+    events = spark.createDataFrame(rows, "conversation_id string, message_id string, parent string, position int, role string, at long, text string")
+    whole = sorted(tuple(r) for r in cv.rebuild(events, True).collect())
+    assert len(whole) == 401 and whole == sorted(tuple(r) for r in cv.rebuild(events, True, most_rows=10).collect())
