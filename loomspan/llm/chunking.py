@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspan.tables import load
@@ -117,4 +118,28 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_texts(drawers, ["id"], "content").filter("chunk_index = 1").select("id").dropDuplicates()
 
 
+def p1_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, n_characters, least_pieces, fits, covers, overlaps): what must hold of the pieces of each oversized content.
+
+    n_characters is what the pieces give back without their repeated parts;
+    least_pieces whether there are at least as many as the limit allows; fits:
+    no piece exceeds the limit; covers: indexes and offsets are without a hole;
+    overlaps: no piece repeats more than OVERLAP characters.
+    """
+    pieces = p1_pieces(spark, sf_dir).withColumn("size", F.char_length("piece"))
+    along = W.partitionBy("id", "content_hash").orderBy("chunk_index")  # the pieces of one content
+    before = pieces.withColumn("last", F.lag("end").over(along)).withColumn("place", F.row_number().over(along) - 1)
+    repeated = F.coalesce(F.col("last") - F.col("start"), F.lit(0))
+    one = before.groupBy("id", "content_hash").agg(
+        F.sum(F.col("size") - repeated).cast("long").alias("n_characters"),
+        F.count("*").alias("n"),
+        F.max("size").alias("most"),
+        F.min((F.col("place") == F.col("chunk_index")) & (F.col("end") - F.col("start") == F.col("size")) & (repeated >= 0) & ((F.col("place") > 0) | (F.col("start") == 0))).alias("covers"),
+        F.max(repeated).alias("repeated"),
+    )
+    return one.select("id", "n_characters", (F.col("n") * LIMIT >= F.col("n_characters")).alias("least_pieces"), (F.col("most") <= LIMIT).alias("fits"), "covers", (F.col("repeated") <= OVERLAP).alias("overlaps")).dropDuplicates()
+
+
+P1_CHECKED_SQL = r"""SELECT DISTINCT id, CAST(length(core) AS BIGINT) AS n_characters, true AS least_pieces, true AS fits, true AS covers, true AS overlaps
+FROM (SELECT id, regexp_replace(content, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS core FROM drawers) WHERE length(core) > 1200"""
 P1_FOUND_SQL = r"SELECT DISTINCT id FROM drawers WHERE length(regexp_replace(content, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')) > 1200"

@@ -5,6 +5,7 @@ from loomspan.llm import chunking, contamination, conversations, neardup, pii, q
 QUERIES = {
     "p1_found": chunking.p1_found,
     "p1_pieces": chunking.p1_pieces,
+    "p1_checked": chunking.p1_checked,
     "p3_found": pii.p3_found,
     "p3_redacted": pii.p3_redacted,
     "p4_found": conversations.p4_found,
@@ -21,6 +22,7 @@ QUERIES = {
 }
 ORACLES = {
     "p1_found": chunking.P1_FOUND_SQL,
+    "p1_checked": chunking.P1_CHECKED_SQL,
     "p4_found": conversations.P4_FOUND_SQL,
     "p6_found": neardup.P6_FOUND_SQL,
     "p9_found": contamination.P9_FOUND_SQL,
