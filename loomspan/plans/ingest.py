@@ -8,6 +8,8 @@ from loomspan.functions import dialect as D
 from loomspan.functions import people as N
 from loomspan.functions import splitting as S
 from loomspan.functions.text import sanitize_query
+from loomspan.operators import mining
+from loomspan.operators import predicates as P
 from loomspan.operators import records as R
 from loomspan.operators import retrieval
 from loomspan.runtime import partitions
@@ -98,7 +100,22 @@ def greedy_dedup(spark, sf):
     return R.greedy_kept(docs, near, "source", "text", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (sweep_increment, sweep_totals, save_points, event_windows, file_chunks, conversation_chunks, summaries, clean_queries, name_candidates, sayings, message_transcripts, greedy_dedup)}
+#: Rooms of the mined corpus.
+ROOMS = [{"name": "code", "keywords": ["function", "class", "import"]}, {"name": "planning", "keywords": ["plan", "deadline", "meeting"]}]
+
+
+def mined_sources(spark, sf):
+    """(source_file, n_records, n_sentinels) after the documents are mined twice into a store that already has some of them."""
+    d = load(spark, sf, "documents")
+    files = d.select(F.concat(F.lit("/corpus/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source_file"), F.unix_seconds(F.col("filed_at").cast("timestamp")).cast("double").alias("mtime"), "text")
+    own = load(spark, sf, "drawers").select("id", "content", "wing", "room", "source_file", "chunk_index", "added_by", "filed_at", "normalize_version").withColumn("source_mtime", F.lit(None).cast("double"))
+    once = mining.mined(files, own.filter("source_file is null"), "corpus", ROOMS, "miner", "2026-01-01T00:00:00")
+    again = mining.mined(files, once.store, "corpus", ROOMS, "miner", "2026-01-02T00:00:00")
+    sentinel = P.is_registry_row()
+    return again.store.filter("source_file is not null").groupBy("source_file").agg(F.sum(F.when(sentinel, 0).otherwise(1)).alias("n_records"), F.sum(F.when(sentinel, 1).otherwise(0)).alias("n_sentinels"))
+
+
+QUERIES = {f.__name__: f for f in (sweep_increment, sweep_totals, save_points, event_windows, file_chunks, conversation_chunks, summaries, clean_queries, name_candidates, sayings, message_transcripts, greedy_dedup, mined_sources)}
 
 _M = """m AS (SELECT session_id, uuid, role, content, max(strftime(timezone('UTC', timestamp), '%Y-%m-%dT%H:%M:%S.%g')) AS ts FROM messages WHERE role IN ('user', 'assistant') AND trim(content) <> '' AND timestamp IS NOT NULL GROUP BY 1, 2, 3, 4)"""
 _STATE = f"""{_M}, k AS (SELECT session_id, max(ts) AS cur FROM m WHERE ts < '{CURSOR}' GROUP BY 1),

@@ -232,7 +232,11 @@ def _hits(side: str, phrases: list[str]) -> str:
     return " + ".join("CAST(contains(" + text + ", '" + p.replace("'", "''") + "') AS INTEGER)" for p in phrases)
 
 
+_WORDS = r"list_filter(string_split(trim(lower(regexp_replace(regexp_replace(regexp_replace(replace(coalesce({0}, ''), ',', ''), '\b(a|an|the|and)\b', ' ', 'g'), '\s+', ' ', 'g'), '[[:punct:]]', '', 'g'))), ' '), lambda w: w <> '')"
 ORACLES = {
+    "token_f1": f"""WITH q AS (SELECT a.item_id, {_WORDS.format("a.text")} AS a, {_WORDS.format("b.text")} AS b FROM eval_items a JOIN eval_items b ON b.item_id - 1 = a.item_id),
+        s AS (SELECT item_id, len(a) AS n, len(b) AS m, coalesce(list_sum(list_transform(list_distinct(a), lambda w: least(len(list_filter(a, lambda v: v = w)), len(list_filter(b, lambda v: v = w))))), 0) AS same FROM q)
+        SELECT item_id, round(CASE WHEN n = 0 OR m = 0 THEN CAST(n = m AS INTEGER) WHEN same = 0 THEN 0.0 ELSE 2 * (same / n) * (same / m) / (same / n + same / m) END, 6) AS f1 FROM s""",
     "knn_exact": f"WITH {_near(10)} SELECT query_id, vec_id, rank, round(distance, 6) AS distance FROM n",
     "knn_filtered": f"WITH {_near(5, where='v.label IN (1, 3, 5)')} SELECT query_id, vec_id, rank FROM n",
     "max_distance": f"WITH {_near(20)} SELECT query_id, vec_id FROM n WHERE distance <= 0.6",

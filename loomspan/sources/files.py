@@ -18,12 +18,14 @@ SKIPPED = [".git", "node_modules", "__pycache__", ".venv", "venv", "env", "dist"
 MOST_BYTES = 500 * 1024 * 1024
 
 
-def scan(spark: SparkSession, folder: str, extensions: list[str], skipped: list[str] | None = None, rules: list[str] | None = None, most: int = MOST_BYTES) -> DataFrame:
+def scan(spark: SparkSession, folder: str, extensions: list[str], skipped: list[str] | None = None, rules: list[str] | None = None, most: int = MOST_BYTES, include: list[str] | None = None) -> DataFrame:
     """(path, relative, length, modified, content) of files with one of the extensions.
 
     Left out: files in skipped folders, of more than `most` bytes, ignored by
     `rules` (lines of an ignore file at the folder), `.meta.json` files, and
-    files without a byte, which the file source itself skips.
+    files without a byte, which the file source itself skips. include: relative
+    paths of files, or of folders with all under them, that no rule and no
+    skipped folder leaves out.
     """
     glob = "*{" + ",".join(extensions) + "}" if len(extensions) > 1 else f"*{extensions[0]}"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
@@ -31,9 +33,12 @@ def scan(spark: SparkSession, folder: str, extensions: list[str], skipped: list[
     relative = F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), "^" + re.escape(root) + "/", "")
     own = files.select("path", relative.alias("relative"), "length", F.col("modificationTime").alias("modified"), "content").filter(F.col("length") <= most)
     folders = F.split("relative", "/")
-    own = own.filter(~F.exists(F.slice(folders, F.lit(1), F.greatest(F.size(folders) - 1, F.lit(0))), lambda f: f.isin(skipped if skipped is not None else SKIPPED)))
-    own = own.filter(~F.col("relative").endswith(".meta.json"))
-    return own.filter(~ignored(F.col("relative"), rules)) if rules else own
+    left_out = F.exists(F.slice(folders, F.lit(1), F.greatest(F.size(folders) - 1, F.lit(0))), lambda f: f.isin(skipped if skipped is not None else SKIPPED))
+    forced = F.lit(False)
+    for p in include or []:
+        forced = forced | (F.col("relative") == p.strip("/")) | F.col("relative").startswith(p.strip("/") + "/")
+    own = own.filter(~F.col("relative").endswith(".meta.json")).filter(forced | ~left_out)
+    return own.filter(forced | ~ignored(F.col("relative"), rules)) if rules else own
 
 
 def rule_patterns(lines: list[str]) -> list[tuple[bool, bool, re.Pattern]]:
