@@ -62,14 +62,6 @@ def contradictions(spark, sf):
 
 
 def similar_names(spark, sf):
-    """People named in facts against all registered people."""
-    t, e = _te(spark, sf)
-    people = K.unique_entities(e).filter("type = 'person'").select("id", "name")
-    mentioned = people.join(t.filter("predicate = 'reports_to'").select(F.col("subject").alias("id")), "id", "left_semi").select("name")
-    return K.similar_names(mentioned, people.select("name"))
-
-
-def similar_names_whole(spark, sf):
     """People that are subject or object of any fact, by id or spelled name, against all registered people."""
     t, e = _te(spark, sf)
     people = K.unique_entities(e).filter("type = 'person'").select("id", "name")
@@ -78,20 +70,22 @@ def similar_names_whole(spark, sf):
     return K.similar_names(mentioned, people.select("name"), also_mentioned=True)
 
 
-def similar_parts(spark, sf):
-    """Part names one or two edits apart, of part brands 1 and 2."""
-    p = spark.read.parquet(f"{sf}/customer.parquet")
-    a = p.filter("c_mktsegment = 'BUILDING'").select(F.col("c_name").alias("name"))
-    b = p.filter("c_mktsegment = 'MACHINERY'").select(F.col("c_name").alias("name"))
-    return K.similar_names(a, b)
+def similar_suppliers(spark, sf):
+    """Supplier names one or two edits apart, each against all."""
+    names = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_name").alias("name"))
+    return K.similar_names(names, names, also_mentioned=True)
 
 
-QUERIES = {f.__name__: f for f in (facts_about_people, facts_as_of, facts_by_predicate, fact_timeline, fact_stats, fact_inserts, fact_invalidation, contradictions, similar_names, similar_names_whole, similar_parts)}
+QUERIES = {f.__name__: f for f in (facts_about_people, facts_as_of, facts_by_predicate, fact_timeline, fact_stats, fact_inserts, fact_invalidation, contradictions, similar_names, similar_suppliers)}
 
 _E = "e AS (SELECT id, name, type FROM entities QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at DESC NULLS LAST, name DESC NULLS LAST, type DESC NULLS LAST) = 1)"
 _T = "t AS (SELECT DISTINCT id, subject, predicate, object, valid_from, valid_to FROM triples)"
 
 
+#: The key of an entity's name in SQL.
+_ID = "translate(lower({0}), ' ''', '_')"
+
+
 def _key(c: str, end: bool = False) -> str:
     return f"CASE WHEN regexp_full_match({c}, '.{{4}}-.{{2}}-.{{2}}') THEN {c} || 'T{'23:59:59' if end else '00:00:00'}Z' ELSE {c} END"
 
@@ -128,10 +122,9 @@ ORACLES = {
         SELECT DISTINCT text_id, CASE WHEN valid_to IS NULL THEN 'relationship_mismatch' ELSE 'stale_fact' END AS type, subject, 'leads' AS claimed, recorded, object, valid_to
         FROM c JOIN k ON translate(lower(c.subject), ' ''', '_') = k.s AND lower(trim(c.object)) = k.oname
         WHERE (valid_to IS NULL AND recorded <> 'leads') OR (recorded = 'leads' AND valid_to <> '' AND valid_to < '2026-01-01')""",
-    "similar_names": f"""WITH {_E}, p AS (SELECT id, name FROM e WHERE type = 'person' AND name <> ''), a AS (SELECT DISTINCT name FROM p WHERE id IN (SELECT subject FROM triples WHERE predicate = 'reports_to'))
-        SELECT a.name, b.name AS other, CAST(levenshtein(lower(a.name), lower(b.name)) AS INTEGER) AS distance FROM a JOIN (SELECT DISTINCT name FROM p WHERE name NOT IN (SELECT name FROM a)) b
-        ON levenshtein(lower(a.name), lower(b.name)) BETWEEN 1 AND 2""",
-    "similar_parts": """SELECT a.c_name AS name, b.c_name AS other, CAST(levenshtein(lower(a.c_name), lower(b.c_name)) AS INTEGER) AS distance
-        FROM (SELECT DISTINCT c_name FROM customer WHERE c_mktsegment = 'BUILDING') a JOIN (SELECT DISTINCT c_name FROM customer WHERE c_mktsegment = 'MACHINERY') b
-        ON levenshtein(lower(a.c_name), lower(b.c_name)) BETWEEN 1 AND 2""",
+    "similar_names": f"""WITH {_E}, {_T}, p AS (SELECT id, name FROM e WHERE type = 'person'), k AS (SELECT DISTINCT {_ID.format("v")} AS key FROM (SELECT unnest([subject, object]) AS v FROM t) WHERE v IS NOT NULL),
+        a AS (SELECT DISTINCT name FROM p WHERE name <> '' AND ({_ID.format("id")} IN (SELECT key FROM k) OR {_ID.format("name")} IN (SELECT key FROM k)))
+        SELECT a.name, b.name AS other, CAST(levenshtein(lower(a.name), lower(b.name)) AS INTEGER) AS distance FROM a JOIN (SELECT DISTINCT name FROM p WHERE name <> '') b ON levenshtein(lower(a.name), lower(b.name)) BETWEEN 1 AND 2""",
+    "similar_suppliers": """SELECT a.name, b.name AS other, CAST(levenshtein(lower(a.name), lower(b.name)) AS INTEGER) AS distance
+        FROM (SELECT DISTINCT s_name AS name FROM supplier) a JOIN (SELECT DISTINCT s_name AS name FROM supplier) b ON levenshtein(lower(a.name), lower(b.name)) BETWEEN 1 AND 2""",
 }

@@ -77,12 +77,7 @@ def bm25_topk(spark, sf):
 
 
 def lexical_search(spark, sf):
-    own = load(spark, sf, "drawers").select("id", "content", "filed_at").dropDuplicates()
-    return R.lexical_search(own, _questions(spark, sf), "id", whole=False)
-
-
-def lexical_search_whole(spark, sf):
-    """lexical_search over all matching drawers, not the 500 latest of them."""
+    """The best five of all drawers that share a longer word with a question."""
     own = load(spark, sf, "drawers").select("id", "content", "filed_at").dropDuplicates()
     return R.lexical_search(own, _questions(spark, sf), "id")
 
@@ -173,7 +168,7 @@ def nearest_rank(spark, sf):
     return E.nearest_rank(e, "event_type", "value", 0.95)
 
 
-QUERIES = {f.__name__: f for f in (knn_exact, knn_filtered, max_distance, check_duplicate, knn_lists, knn_recall, bm25_topk, lexical_search, lexical_search_whole, hybrid_fuse, rank_boost, neighbour_expand, search_vector, search_union, keyword_fusion, full_fusion, temporal_fusion, room_fusion, ranking_measures, session_halls, token_f1, nearest_rank)}
+QUERIES = {f.__name__: f for f in (knn_exact, knn_filtered, max_distance, check_duplicate, knn_lists, knn_recall, bm25_topk, lexical_search, hybrid_fuse, rank_boost, neighbour_expand, search_vector, search_union, keyword_fusion, full_fusion, temporal_fusion, room_fusion, ranking_measures, session_halls, token_f1, nearest_rank)}
 
 _DIST = "list_cosine_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))"
 _TOK = r"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}_]{{2,}}')"
@@ -247,7 +242,7 @@ ORACLES = {
     "lexical_search": f"""WITH a AS (SELECT item_id AS query_id, text FROM eval_items WHERE item_id % 50 = 0), r AS (SELECT DISTINCT id AS vec_id, content AS text, filed_at FROM drawers),
         aw AS (SELECT DISTINCT query_id, unnest(list_filter({_TOK.format(c='text')}, lambda t: length(t) >= 3)) AS word FROM a), rw AS (SELECT DISTINCT vec_id, text, filed_at, unnest({_TOK.format(c='text')}) AS word FROM r),
         met AS (SELECT DISTINCT query_id, vec_id, text, filed_at FROM rw JOIN aw USING (word)),
-        h AS (SELECT query_id, vec_id, text FROM met QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY filed_at DESC NULLS LAST, vec_id) <= 500), {_bm('h')}
+        h AS (SELECT query_id, vec_id, text FROM met), {_bm('h')}
         SELECT query_id, vec_id AS id, round(bm25, 6) AS bm25, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, vec_id) AS INTEGER) AS rank FROM (SELECT h.query_id, h.vec_id, coalesce(bm25, 0.0) AS bm25 FROM h LEFT JOIN s USING (query_id, vec_id)) QUALIFY rank <= 5""",
     "hybrid_fuse": f"""WITH {_near(10)}, {_ASKED}, h AS (SELECT n.query_id, n.vec_id, n.distance, coalesce(d.text, '') AS text FROM n JOIN documents d ON d.doc_id = n.vec_id), {_bm('h')},
         g AS (SELECT h.query_id, h.vec_id, h.distance, coalesce(bm25, 0) AS bm25, max(coalesce(bm25, 0)) OVER (PARTITION BY h.query_id) AS most FROM h LEFT JOIN s USING (query_id, vec_id))
@@ -283,4 +278,3 @@ ORACLES = {
         WHERE i = CAST(round_even(0.95 * (n - 1), 0) AS BIGINT)""",
 }
 #: The same without the bound of candidates.
-ORACLES["lexical_search_whole"] = ORACLES["lexical_search"].replace(" QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY filed_at DESC NULLS LAST, vec_id) <= 500)", ")")
