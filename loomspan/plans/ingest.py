@@ -120,12 +120,14 @@ QUERIES = {f.__name__: f for f in (sweep_increment, sweep_totals, save_points, e
 _M = """m AS (SELECT session_id, uuid, role, content, max(strftime(timezone('UTC', timestamp), '%Y-%m-%dT%H:%M:%S.%g')) AS ts FROM messages WHERE role IN ('user', 'assistant') AND trim(content) <> '' AND timestamp IS NOT NULL GROUP BY 1, 2, 3, 4)"""
 _STATE = f"""{_M}, k AS (SELECT session_id, max(ts) AS cur FROM m WHERE ts < '{CURSOR}' GROUP BY 1),
     s AS (SELECT DISTINCT 'sweep_' || session_id || '_' || uuid AS id, CASE WHEN cur IS NOT NULL AND ts < cur THEN 'skipped' WHEN ts < '{CURSOR}' THEN 'present' ELSE 'added' END AS state FROM m LEFT JOIN k USING (session_id))"""
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in D.STOP_WORDS)
 ORACLES = {
     "sweep_increment": f"WITH {_STATE} SELECT id, state FROM s",
     "sweep_totals": f"WITH {_STATE} SELECT count(*) FILTER (state = 'added') AS added, count(*) FILTER (state = 'present') AS present, count(*) FILTER (state <> 'skipped') AS upserted, count(*) FILTER (state = 'skipped') AS skipped FROM s",
     "save_points": """WITH m AS (SELECT session_id, uuid, max(timestamp) AS ts FROM messages WHERE role = 'user' AND timestamp IS NOT NULL GROUP BY 1, 2),
         p AS (SELECT session_id, (row_number() OVER (PARTITION BY session_id ORDER BY ts, uuid) - 1) // 3 AS save FROM m) SELECT session_id, save, count(*) AS n FROM p GROUP BY 1, 2 HAVING count(*) = 3""",
     "event_windows": """SELECT CAST(floor(epoch_us(ts) / 3600000000.0) AS BIGINT) * 3600 AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2""",
-    "name_candidates": None,
+    "name_candidates": rf"""WITH d AS (SELECT regexp_replace(coalesce(text, ''), '[^\x00-\x7F\pP\pS\pZ\pC]', '_', 'g') AS t FROM documents),  -- letters beyond ASCII end no word
+        f AS (SELECT unnest(list_concat(regexp_extract_all(t, '{N._SINGLE}'), regexp_extract_all(t, '{N._PHRASE}'))) AS name FROM d)
+        SELECT name, count(*) AS n FROM f WHERE NOT list_has_any(regexp_split_to_array(lower(name), '\s+'), [{_STOP}]) GROUP BY 1 HAVING count(*) >= 3""",
 }
-ORACLES = {k: v for k, v in ORACLES.items() if v}

@@ -131,7 +131,27 @@ _patterns = lambda ps: " + ".join("len(regexp_extract_all(t, '(?i)" + p.replace(
 #: What isn't white space in any script, for RE2.
 _SOLID = r"[^\s\x{0B}\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1680}]"
 
+_ROOM_WORDS = {r["name"]: [r["name"], *r["keywords"]] for r in ROOMS}
+_often = lambda words: "(" + " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}" for w in words) + ")"
+_most = "greatest(" + ", ".join(map(_often, _ROOM_WORDS.values())) + ")"
+_initcap = "array_to_string(list_transform(string_split(lower({0}), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+_SAID = [p.replace("'", "''") for p in (C._CLAIM_A, C._CLAIM_B)]
+_claim = lambda a, b: f"CASE WHEN a IS NOT NULL THEN regexp_extract(a, '{_SAID[0]}', {a}) ELSE regexp_extract(b, '{_SAID[1]}', {b}) END"
+
 ORACLES = {
+    "room_class": r"""WITH d AS (SELECT DISTINCT id, lower(coalesce(source_file, '')) AS p, lower(substr(coalesce(content, ''), 1, 2000)) AS t FROM drawers),
+        f AS (SELECT *, regexp_split_to_array(p, '[/\\]') AS parts FROM d), g AS (SELECT *, parts[:-2] AS folders, parts[-1] AS file FROM f)
+        SELECT DISTINCT id, CASE """
+    + " ".join(f"WHEN list_has_any(folders, {words}) THEN '{k}'" for k, words in _ROOM_WORDS.items())
+    + " "
+    + " ".join(f"WHEN contains(file, '{k}') THEN '{k}'" for k in _ROOM_WORDS)
+    + f" WHEN {_most} = 0 THEN 'general' "
+    + " ".join(f"WHEN {_often(words)} = {_most} THEN '{k}'" for k, words in _ROOM_WORDS.items())
+    + " END AS room FROM g",
+    "text_claims": rf"""WITH t AS (SELECT DISTINCT id, subject, predicate, object FROM triples WHERE subject IS NOT NULL AND object IS NOT NULL AND predicate IS NOT NULL),
+        x AS (SELECT id, {_initcap.format("split_part(subject, '_', 1)")} || ' is ' || {_initcap.format("split_part(object, '_', 1)")} || '''s ' || split_part(predicate, '_', 1) || '.' AS v FROM t),
+        y AS (SELECT id, unnest(regexp_extract_all(v, '{_SAID[0]}')) AS a, NULL AS b FROM x UNION ALL SELECT id, NULL, unnest(regexp_extract_all(v, '{_SAID[1]}')) FROM x)
+        SELECT id, {_claim(1, 3)} AS subject, lower({_claim(3, 2)}) AS predicate, {_claim(2, 1)} AS object FROM y""",
     "token_estimate": f"SELECT doc_id, CAST(greatest(1, floor(len(regexp_extract_all(coalesce(text, ''), '{_SOLID}+')) * 1.3)) AS INTEGER) AS tokens FROM documents",
     "valid_names": r"SELECT DISTINCT name, coalesce(trim(name) <> '' AND length(trim(name)) <= 128 AND NOT regexp_matches(name, '\.\.|/|\\') AND regexp_full_match(trim(name), '[\p{L}\p{N}_][\p{L}\p{N}_ .''-]*'), FALSE) AS valid FROM entities",
     "text_transforms": rf"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS t FROM documents)
