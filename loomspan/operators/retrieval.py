@@ -333,14 +333,15 @@ def lexical_search(records: DataFrame, queries: DataFrame, key: str, most: int =
     asked = queries.select("query_id", "text", F.filter(F.array_distinct(tokens(F.col("text"))), lambda t: F.char_length(t) >= 3).alias("asked"))
     records = records.select(key, text, recency)
     if whole:
-        # words that no query has go before anything is shuffled; what is left is counted a record before it is
-        asked_words = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word")).withColumn("long", F.char_length("word") >= 3)
-        row = [key, recency, "content_key", "length"]
-        own = records.select(key, recency, F.xxhash64(text).alias("content_key"), tokens(F.col(text)).alias("words")).select(key, recency, "content_key", F.size("words").alias("length"), F.explode("words").alias("word"))
-        counted = own.join(asked_words, "word").groupBy("query_id", *row, "word").agg(F.count("*").alias("tf"), F.max("long").alias("long"))
-        # one row for each candidate of a query; words of fewer characters make none
-        met = counted.groupBy("query_id", *row).agg(F.collect_list(F.struct("word", "tf")).alias("shared"), F.max("long").alias("long")).filter("long")
-        met = checkpointed(met)
+        # one pass over the texts: each record's asked words with their counts, whatever the number of queries; no text is shuffled
+        every = asked.select("query_id", "asked", F.array_distinct(tokens(F.col("text"))).alias("every"))
+        vocabulary = every.select(F.explode("every").alias("word")).agg(F.collect_set("word").alias("vocabulary"))  # one row, of the queries' words
+        count = lambda w: F.size(F.filter("words", lambda x: x == w))
+        words = records.select(key, tokens(F.col(text)).alias("words")).join(F.broadcast(vocabulary))
+        own = words.select(key, F.size("words").alias("length"), F.transform(F.array_intersect("words", "vocabulary"), lambda w: F.struct(w.alias("word"), count(w).alias("tf"))).alias("own")).filter(F.size("own") > 0)
+        own = checkpointed(own)
+        # shorter words make no candidate
+        met = own.join(every, F.arrays_overlap("own.word", "asked")).select("query_id", key, "length", F.filter("own", lambda s: F.array_contains("every", s["word"])).alias("shared"))
         stats = met.groupBy("query_id").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
         df = met.select("query_id", F.explode("shared.word").alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("df")).join(stats, "query_id")
         idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
