@@ -242,3 +242,16 @@ WHERE (source_table, conv) NOT IN (
   SELECT (source_table, conv) FROM spoken
   WHERE (before IS NULL AND role <> 'user') OR (role = 'user' AND coalesce(after, '') <> 'assistant'))
 """
+
+P4_CONVERSATIONS_SQL = rf"""
+WITH texts AS (
+  SELECT 'messages' AS source_table, session_id AS conversation_id, uuid AS message_id, content AS text, coalesce(role, type) AS name, epoch_us(timestamp) AS at_us FROM messages
+  UNION ALL SELECT 'chat_messages', conversation_uuid, message_uuid, text, sender, epoch_us(created_at) FROM chat_messages
+), roles AS (
+  SELECT *, CASE WHEN trim(coalesce(text, ''), E' \t\r\n') = '' THEN NULL
+    WHEN lower(trim(name, E' \t\r\n')) IN ('user', 'human') THEN 'user' WHEN lower(trim(name, E' \t\r\n')) IN ('assistant', 'ai') THEN 'assistant' END AS role FROM texts
+), newest AS (
+  SELECT * FROM roles QUALIFY row_number() OVER (PARTITION BY source_table, conversation_id, message_id ORDER BY at_us DESC NULLS LAST, role DESC NULLS LAST, text DESC NULLS LAST) = 1
+)
+SELECT source_table, conversation_id, turn, role, message_id, text FROM ({P4_FOUND_SQL}) JOIN newest USING (source_table, conversation_id, message_id)
+"""

@@ -24,6 +24,7 @@ ORACLES = {
     "p1_found": chunking.P1_FOUND_SQL,
     "p1_checked": chunking.P1_CHECKED_SQL,
     "p4_found": conversations.P4_FOUND_SQL,
+    "p4_conversations": conversations.P4_CONVERSATIONS_SQL,
     "p6_found": neardup.P6_FOUND_SQL,
     "p9_found": contamination.P9_FOUND_SQL,
     "p10_stats": quality.P10_STATS_SQL,
