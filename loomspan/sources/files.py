@@ -133,13 +133,14 @@ def extract(path: str, content: bytes | None, most: int = MOST_BYTES) -> tuple[s
     if kind == "pdf":
         try:
             import pypdf
+            import pypdf.errors
         except ImportError:
             return "", "missing_dependency"
         import io
 
         try:
             text = "\n\n".join(p.extract_text() or "" for p in pypdf.PdfReader(io.BytesIO(content)).pages).strip()
-        except Exception:
+        except (pypdf.errors.PyPdfError, ValueError, KeyError, IndexError, TypeError, AttributeError, RecursionError, OSError):  # what its parser raises on broken files
             return "", "corrupt"
         return (text, "ok") if text else ("", "no_text")
     text = decode(content) or ""
