@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions.classify import claims
 from loomspan.functions.text import iso_temporal
+from loomspan.operators.edits import near_names
 
 
 class InvertedInterval(ValueError):
@@ -163,31 +164,13 @@ def claim_conflicts(claim: DataFrame, triples: DataFrame, entities: DataFrame, t
 def similar_names(mentioned: DataFrame, registry: DataFrame, most: int = 2, also_mentioned: bool = False) -> DataFrame:
     """(name, other, distance): registered names at 1 to `most` edits of a mentioned one that aren't mentioned, or `also_mentioned`.
 
-    Names at most two edits apart share one of three parts, each name cut at
-    the thirds of its length; those parts, at their place give or take the
-    edits, join the two sides, so no two names meet without a common part.
+    Names are compared whatever their case. What is compared grows with the
+    beginnings that are near, not with the parts that names share.
     """
     a = mentioned.select("name").filter("name <> ''").distinct()
     registered = registry.select("name").filter("name <> ''").distinct()
-    b = (registered if also_mentioned else registered.join(a, "name", "left_anti")).withColumnRenamed("name", "other")
-
-    def parts(c: Column) -> Column:
-        n = F.char_length(c)
-        cuts = [(F.lit(0), F.floor(n / 3)), (F.floor(n / 3), F.floor(2 * n / 3)), (F.floor(2 * n / 3), n)]
-        each = [F.struct(F.lit(i).alias("i"), n.alias("n"), F.substring(F.lower(c), (s + 1).cast("int"), (e - s).cast("int")).alias("p")) for i, (s, e) in enumerate(cuts)]
-        return F.array(*each)
-
-    left = a.select("name", F.explode(parts(F.col("name"))).alias("q")).select("name", "q.i", "q.n", "q.p")
-    # every window of the other name that such a part may match, for each length the first name may have
-    n = F.char_length("other")
-    lengths = F.explode(F.sequence(F.greatest(n - most, F.lit(1)), n + most)).alias("n")
-    wide = b.select("other", lengths).select("other", "n", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i")).select("*", F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("d"))
-    begin, end = F.floor(F.col("i") * F.col("n") / 3), F.floor((F.col("i") + 1) * F.col("n") / 3)
-    at = begin + F.col("d")
-    part = wide.filter(at >= 0).select("other", "i", "n", F.substring(F.lower("other"), (at + 1).cast("int"), (end - begin).cast("int")).alias("p")).dropDuplicates()
-    met = left.join(part, ["i", "n", "p"]).select("name", "other").dropDuplicates()
-    distance = F.levenshtein(F.lower("name"), F.lower("other"), most)
-    return met.select("name", "other", distance.alias("distance")).filter(F.col("distance").between(1, most))
+    b = registered if also_mentioned else registered.join(a, "name", "left_anti")
+    return near_names(a, b, most)
 
 
 def seeded(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
